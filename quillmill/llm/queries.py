@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import nearsets, visual
+from quillmill.llm import nearsets, quality, visual
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,15 @@ def p2_form_classes(spark: SparkSession, folder: str) -> DataFrame:
     return visual.form_classes(_texts(spark, folder))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.not_prose(_table(spark, folder, "records"))
+
+
+def p3_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    records = _table(spark, folder, "records")
+    return quality.statistics(records, quality.train(records))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return nearsets.near_pairs(_table(spark, folder, "records"))
 
