@@ -42,3 +42,21 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     path = f"{shared_folder(spark)}/quillmill/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_by(df: DataFrame, key: str, name: str = "cut") -> DataFrame:
+    """Like ``cut``, but bucketed by ``key``: later joins on ``key`` read it without another shuffle.
+
+    There are as many buckets as ``spark.sql.shuffle.partitions``; rows are placed before ``df`` is evaluated by
+    the caller's own ``repartition(buckets(spark), key)``, so each task writes one file."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/quillmill/{table}"
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", path)
+    writer.bucketBy(buckets(spark), key).saveAsTable(table)
+    return spark.table(table)
+
+
+def buckets(spark: SparkSession) -> int:
+    """Buckets of a table written by ``cut_by``."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
