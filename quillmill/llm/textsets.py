@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.visual import forms_of
-from quillmill.plans.durable import cut
+from quillmill.plans.durable import buckets, cut_by
 
 #: Characters of text that one vectorised step holds; batches are cut into steps of about this size.
 STEP_CHARS = 1_000_000
@@ -124,8 +124,8 @@ def distinct_texts(records: DataFrame, split: str | None = None, source: str | N
     split_col = F.lower(F.trim(F.col(split))) if split else F.lit(None).cast("string")
     source_col = F.col(source).cast("string") if source else F.lit(None).cast("string")
     rows = records.select("id", "text", split_col.alias("split"), source_col.alias("source")).mapInPandas(_formed, ROWS)
-    placed = rows.repartition("doc").mapInPandas(_first_keeps_text, DISTINCT)
-    return cut(placed, "texts")
+    placed = rows.repartition(buckets(records.sparkSession), "doc").mapInPandas(_first_keeps_text, DISTINCT)
+    return cut_by(placed, "doc", "texts")
 
 
 def _first_keeps_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -42,7 +42,8 @@ VISIBLE_KINDS = ("<super>", "<sub>", "<circle>", "<fraction>", "<square>")
 
 _LOOKS = str.maketrans(LOOKS_LIKE)
 _LINE_END = re.compile("\r\n?|[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
-_BLANK = re.compile(r"[^\S\n]+")
+_ODD_END = re.compile("[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+_SUSPECT = re.compile("[" + "".join(LOOKS_LIKE) + "]")
 _WIDE_BLANK = re.compile(r"[^\S\n ]")
 _AT_END = re.compile(r" +(?=\n|\Z)")
 
@@ -79,20 +80,25 @@ def consistent_form(text: str | None, fold_case: bool = False) -> str | None:
         return None
     if not text.isascii():
         hidden, visible = _patterns()
-        text = hidden.sub("", text)
-        if visible.search(text):
-            pieces, at = [], 0
-            for m in visible.finditer(text):
-                pieces += [unicodedata.normalize("NFKD", text[at : m.start()]), m.group()]
-                at = m.end()
-            text = "".join(pieces) + unicodedata.normalize("NFKD", text[at:])
-        else:
-            text = unicodedata.normalize("NFKD", text)
-        text = unicodedata.normalize("NFC", text.translate(_LOOKS))
-    text = _LINE_END.sub("\n", text)
+        if hidden.search(text):
+            text = hidden.sub("", text)
+        if _SUSPECT.search(text) or not unicodedata.is_normalized("NFKC", text):
+            if visible.search(text):
+                pieces, at = [], 0
+                for m in visible.finditer(text):
+                    pieces += [unicodedata.normalize("NFKD", text[at : m.start()]), m.group()]
+                    at = m.end()
+                text = "".join(pieces) + unicodedata.normalize("NFKD", text[at:])
+            else:
+                text = unicodedata.normalize("NFKD", text)
+            text = unicodedata.normalize("NFC", text.translate(_LOOKS))
+    if _ODD_END.search(text):
+        text = _LINE_END.sub("\n", text)
     if _WIDE_BLANK.search(text):
         text = _WIDE_BLANK.sub(" ", text)
-    text = _AT_END.sub("", text).strip("\n")
+    if " \n" in text or text[-1:] == " ":
+        text = _AT_END.sub("", text)
+    text = text.strip("\n")
     if not text.strip():
         return ""
     return text.casefold() if fold_case else text
