@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import nearsets, quality, visual
+from quillmill.llm import nearsets, quality, stuffing, visual
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,10 @@ def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
     return nearsets.near_classes(_table(spark, folder, "records"))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return stuffing.stuffed_pages(_table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
