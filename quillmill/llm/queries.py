@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import nearsets, quality, stuffing, visual
+from quillmill.llm import leak, nearsets, quality, stuffing, visual
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,10 @@ def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
     return nearsets.near_classes(_table(spark, folder, "records"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leak.leaked(_table(spark, folder, "documents"), _table(spark, folder, "benchmark_items"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return stuffing.stuffed_pages(_table(spark, folder, "documents"))
 
