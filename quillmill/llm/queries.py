@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillmill.llm import leak, nearsets, quality, stuffing, visual
+from quillmill.llm import langid, leak, nearsets, quality, stuffing, visual
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +47,24 @@ def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
     return nearsets.near_classes(_table(spark, folder, "records"))
 
 
+def _labelled(spark: SparkSession, folder: str) -> DataFrame:
+    """Records and probes with their language labels: (id, text, label)."""
+    records, probes = _table(spark, folder, "records"), _table(spark, folder, "probes")
+    return records.select("id", "text", F.col("meta")["language"].alias("label")).unionByName(probes.select("id", "text", F.col("language").alias("label")))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.mislabelled(_labelled(spark, folder))
+
+
+def p5_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.documents(_labelled(spark, folder))
+
+
+def p5_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.segments(_labelled(spark, folder))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leak.leaked(_table(spark, folder, "documents"), _table(spark, folder, "benchmark_items"))
 
