@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import langid, leak, nearsets, quality, stuffing, visual
+from quillmill.llm import langid, leak, nearsets, overlap, quality, stuffing, visual
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,14 @@ def _texts(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("id", "text").unionByName(probes.select("id", "text"))
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.cross_split_pairs(_table(spark, folder, "records"))
+
+
+def p1_report(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.overlap_report(_table(spark, folder, "records"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return visual.look_alikes(_texts(spark, folder))
 
