@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import langid, leak, nearsets, overlap, quality, stuffing, visual
+from quillmill.llm import langid, leak, nearsets, overlap, packing, quality, stuffing, tokens, visual
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +73,22 @@ def p5_segments(spark: SparkSession, folder: str) -> DataFrame:
     return langid.segments(_labelled(spark, folder))
 
 
+def p6_row_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.row_tokens(*(_table(spark, folder, t) for t in ("records", "probes", "dataset_sources", "bpe_merges")))
+
+
+def p6_totals(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.token_totals(p6_row_tokens(spark, folder))
+
+
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, folder, "documents"), _table(spark, folder, "context_windows"), tokens.model_of(_table(spark, folder, "bpe_merges")))
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_report(p7_containers(spark, folder), _table(spark, folder, "context_windows"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leak.leaked(_table(spark, folder, "documents"), _table(spark, folder, "benchmark_items"))
 
