@@ -150,50 +150,59 @@ class BpeModel:
     def train(cls, weighted: Iterable[tuple[bytes, int]], vocab_size: int, special_tokens: Sequence[str] = SPECIAL_TOKENS) -> BpeModel:
         """Greedy merges over distinct byte strings with their numbers of occurrences.
 
-        Pair counts are kept up to date: a merge touches only the strings that hold its pair. Occurrences overlap
-        when counted (``aaa`` has the pair twice) and do not when merged; ties go to the smaller pair."""
+        All strings lie in one linked list; each pair knows where it stands, so a merge costs as much as it has
+        occurrences. Occurrences overlap when counted (``aaa`` has the pair twice) and do not when merged; ties go
+        to the smaller pair."""
         first = BYTES + len(special_tokens)
         if vocab_size < first:
             raise ValueError(f"vocab_size must be at least {first}")
-        words = [(list(w), n) for w, n in weighted if w and n]
+        ids: list[int] = [-1]
+        weight: list[int] = [0]
+        for word, times in weighted:
+            if word and times:
+                ids += [*word, -1]
+                weight += [times] * (len(word) + 1)
+        n = len(ids)
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         count: dict[tuple[int, int], int] = defaultdict(int)
-        where: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for k, (w, n) in enumerate(words):
-            for p in zip(w, w[1:]):
-                count[p] += n
-                where[p].add(k)
-        heap = [(-n, p) for p, n in count.items()]
+        where: dict[tuple[int, int], list[int]] = defaultdict(list)
+        for i in range(1, n - 1):
+            if ids[i] >= 0 and ids[i + 1] >= 0:
+                count[ids[i], ids[i + 1]] += weight[i]
+                where[ids[i], ids[i + 1]].append(i)
+        heap = [(-c, p) for p, c in count.items()]
         heapq.heapify(heap)
         merges: list[tuple[int, int]] = []
         while first + len(merges) < vocab_size:
             while heap and -heap[0][0] != count.get(heap[0][1], 0):
                 heapq.heappop(heap)
-            if not heap or heap[0][0] == 0:
+            if not heap:
                 break
-            pair = heap[0][1]
+            a, b = pair = heapq.heappop(heap)[1]
             new = first + len(merges)
             merges.append(pair)
-            changed = set()
-            for k in where.pop(pair):
-                w, n = words[k]
-                for p in zip(w, w[1:]):
-                    count[p] -= n
-                    changed.add(p)
-                merged, i = [], 0
-                while i < len(w):
-                    if i + 1 < len(w) and (w[i], w[i + 1]) == pair:
-                        merged.append(new)
-                        i += 2
-                    else:
-                        merged.append(w[i])
-                        i += 1
-                words[k] = (merged, n)
-                for p in zip(merged, merged[1:]):
-                    count[p] += n
-                    where[p].add(k)
-                    changed.add(p)
+            changed: set[tuple[int, int]] = set()
+            for i in sorted(where.pop(pair)):
+                j = right[i]
+                if ids[i] != a or j >= n or ids[j] != b:
+                    continue
+                w, x, y = weight[i], left[i], right[j]
+                count[pair] -= w
+                if ids[x] >= 0:
+                    count[ids[x], a] -= w
+                    count[ids[x], new] += w
+                    where[ids[x], new].append(x)
+                    changed |= {(ids[x], a), (ids[x], new)}
+                if ids[y] >= 0:
+                    count[b, ids[y]] -= w
+                    count[new, ids[y]] += w
+                    where[new, ids[y]].append(i)
+                    changed |= {(b, ids[y]), (new, ids[y])}
+                ids[i], ids[j] = new, -2
+                right[i], left[y] = y, i
+            changed.add(pair)
             for p in changed:
-                if count[p]:
+                if count[p] > 0:
                     heapq.heappush(heap, (-count[p], p))
                 else:
                     count.pop(p, None)
