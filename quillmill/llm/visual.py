@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from quillmill.llm.pairs import within_groups
+from quillmill.plans.durable import cut
 
 # Letters of other scripts and the Latin letters (or signs) they cannot be told apart from.
 LOOKS_LIKE = {
@@ -149,7 +150,7 @@ def look_alikes(rows: DataFrame) -> DataFrame:
 
     ``rows``: ``id``, ``text`` and any other columns. Blocks are groups of equal case-folded form; in a block the
     form that keeps letter case decides."""
-    prints = fingerprints(rows)
+    prints = cut(fingerprints(rows), "prints")
     blocks = prints.groupBy("fold", "form").agg(F.count("*").alias("n"), F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").drop("lo", "hi")
     mixed = prints.join(blocks, ["fold", "form"])
     return within_groups(mixed, ["fold", "form"], "n", lambda a, b: a["raw"] != b["raw"]).select("id_a", "id_b")
@@ -157,6 +158,6 @@ def look_alikes(rows: DataFrame) -> DataFrame:
 
 def form_classes(rows: DataFrame) -> DataFrame:
     """One row per id: its class of texts that look the same, the class's size and number of different strings."""
-    prints = fingerprints(rows)
+    prints = cut(fingerprints(rows), "prints")
     sizes = prints.groupBy("form").agg(F.min("id").alias("class_id"), F.count("*").alias("class_rows"), F.countDistinct("raw").alias("spellings"))
     return prints.join(sizes, "form").select("id", "class_id", "class_rows", "spellings")
