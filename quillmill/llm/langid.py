@@ -131,8 +131,9 @@ def _grammar_vote(sentence: str) -> str | None:
     return best if best and votes[best] * 2 > sum(votes.values()) else None
 
 
-def _read(texts: list[str], profiles: Profiles) -> tuple[list[list[tuple[int, int, int, float]]], np.ndarray, np.ndarray]:
-    """Stretches (start, end, language, confidence) of each text, and its main language and confidence."""
+def _read(texts: list[str], profiles: Profiles, whole: bool = True) -> tuple[list[list[tuple[int, int, int, float]]], np.ndarray, np.ndarray]:
+    """Stretches (start, end, language, confidence) of each text, its main language, and, where ``whole``, the
+    confidence of the whole text's own profile."""
     found = [spans(t) for t in texts]
     lines = [t[a:b] for t, s in zip(texts, found) for a, b, _ in s]
     owner = np.repeat(np.arange(len(texts)), [len(s) for s in found])
@@ -161,7 +162,7 @@ def _read(texts: list[str], profiles: Profiles) -> tuple[list[list[tuple[int, in
             main[d] = share.argmax()
     distance = np.ones((len(texts), len(LANGUAGES)))
     there = [d for d, parts in enumerate(out) if parts]
-    if there:
+    if there and whole:
         distance[there] = profiles.distances([texts[d] for d in there])
     order = np.sort(distance, axis=1)
     confidence = (order[:, 1] - order[:, 0]) / np.maximum(order[:, 1], 1e-9)
@@ -218,7 +219,7 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list
 def _segment(handed):
     def segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, forms in _texts(batches):
-            found, _, _ = _read(forms, handed.value)
+            found, _, _ = _read(forms, handed.value, False)
             rows = []
             for i, parts in zip(part["id"], found):
                 number = 0
@@ -238,10 +239,10 @@ def _segment(handed):
     return segment
 
 
-def _document(handed):
+def _document(handed, whole: bool):
     def document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, forms in _texts(batches):
-            found, main, confidence = _read(forms, handed.value)
+            found, main, confidence = _read(forms, handed.value, whole)
             share = [sum(p[1] - p[0] for p in parts) / max(len(t.strip()), 1) for parts, t in zip(found, forms)]
             has = [s >= PROSE_SHARE for s in share]
             yield pd.DataFrame({
@@ -255,10 +256,12 @@ def _document(handed):
     return document
 
 
-def documents(rows: DataFrame, profiles: Profiles | None = None) -> DataFrame:
-    """Language, confidence and all languages of each row of ``rows`` (id, text, label), one row per id."""
+def documents(rows: DataFrame, profiles: Profiles | None = None, confidence: bool = True) -> DataFrame:
+    """Language, confidence and all languages of each row of ``rows`` (id, text, label), one row per id.
+
+    Without ``confidence`` only sentences are compared with the profiles, not the whole text once more."""
     handed = rows.sparkSession.sparkContext.broadcast(profiles or train(rows))
-    read = rows.select("id", "text", "label").mapInPandas(_document(handed), DOCUMENTS)
+    read = rows.select("id", "text", "label").mapInPandas(_document(handed, confidence), DOCUMENTS)
     return read.dropDuplicates(["id"])
 
 
@@ -270,7 +273,7 @@ def segments(rows: DataFrame, profiles: Profiles | None = None) -> DataFrame:
 
 def mislabelled(rows: DataFrame, profiles: Profiles | None = None) -> DataFrame:
     """(id, language) of texts whose label is missing, wrong, or can't be right because they hold several languages."""
-    read = documents(rows, profiles).where(F.size("languages") > 0)
+    read = documents(rows, profiles, confidence=False).where(F.size("languages") > 0)
     named = F.array_sort(F.array_distinct(F.filter(F.split(F.coalesce(label_of(F.col("label")), F.lit("")), "[-,/ +]+"), lambda x: x.isin(*LANGUAGES))))
     wrong = (F.size("languages") > 1) | (F.to_json(named) != F.to_json("languages"))
     return read.where(wrong).select("id", F.explode("languages").alias("language"))
