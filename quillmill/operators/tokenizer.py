@@ -211,7 +211,7 @@ def choose_vocab(table: DataFrame, knee: float = 0.10) -> DataFrame:
     ranked = with_gains(table)
     first = ranked.where(F.col("gain") < knee).agg(F.min("place").alias("knee"))
     joined = ranked.crossJoin(F.broadcast(first))
-    at_knee = joined.where(F.col("place") == F.greatest(F.lit(1), F.col("knee") - 1)).select("name", F.lit(True).alias("cost_knee_reached"))
+    at_knee = joined.where(F.col("knee").isNotNull() & (F.col("place") == F.greatest(F.lit(1), F.col("knee") - 1))).select("name", F.lit(True).alias("cost_knee_reached"))
     least = joined.where("knee is null").orderBy("candidate_ja", "effective_vocab_size").limit(1).select("name", F.lit(False).alias("cost_knee_reached"))
     return at_knee.unionByName(least)
 

@@ -71,7 +71,7 @@ def char_shingle_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def near_dup_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    unique = cut(dedup.exact_dedup(documents(spark, folder)), "unique")
+    unique = cut(dedup.exact_dedup(table(spark, folder, "records").where("text is not null")).select("pos", "text"), "unique")
     return dedup.similar_pairs(unique, 0.8, 5)
 
 
@@ -347,7 +347,7 @@ def stream_clean(spark: SparkSession, folder: str) -> DataFrame:
     schema = table(spark, folder, "records").schema
     stream = S.clean_stream(S.read_stream(spark, f"{folder}/records.parq*et", schema), ingest.QualityLimits(min_chars=200))
     S.run_available(stream.select("id", "pos", X.content_hash(F.col("text")).alias("text_sha1")), f"{base}/out", f"{base}/state").awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("text_sha1")
+    return spark.read.parquet(f"{base}/out").select("text_sha1").distinct()
 
 
 def queries() -> dict[str, Query]:

@@ -49,7 +49,7 @@ def read_records(spark: SparkSession, *paths: str, check: bool = True) -> DataFr
     """Records of JSON lines; unknown keys are dropped, blank lines skipped. Ids must be distinct over all files."""
     rows = _json(spark, paths, RECORD)
     if check:
-        rows = require(rows.cache(), {"line is not a JSON object": F.col(_CORRUPT).isNull()} | _filled("id", "text", "source"), "id")
+        rows = require(rows, {"line is not a JSON object": F.col(_CORRUPT).isNull()} | _filled("id", "text", "source"), "id")
     return rows.drop(_CORRUPT)
 
 
@@ -66,7 +66,7 @@ def read_input_texts(spark: SparkSession, *paths: str) -> DataFrame:
     for number, path in enumerate(paths):
         if path.endswith(".jsonl"):
             rows = _json(spark, [path], T.StructType([T.StructField("text", T.StringType())]))
-            rows = require(rows.cache(), {"line is not a JSON object": F.col(_CORRUPT).isNull(), "text must be a string": F.col("text").isNotNull()}).select("text")
+            rows = require(rows, {"line is not a JSON object": F.col(_CORRUPT).isNull(), "text must be a string": F.col("text").isNotNull()}).select("text")
         else:
             rows = spark.read.text(path).select(F.col("value").alias("text"))
         rows = rows.withColumn("_file", F.lit(number)).withColumn("_line", F.monotonically_increasing_id())
@@ -78,7 +78,7 @@ def read_benchmarks(spark: SparkSession, path: str) -> DataFrame:
     """Texts that must stay out of training: JSON lines, or one text per line; blank ones are skipped."""
     if path.endswith(".jsonl"):
         rows = _json(spark, [path], T.StructType([T.StructField("id", T.StringType()), T.StructField("text", T.StringType())]))
-        rows = require(rows.cache(), {"line is not a JSON object": F.col(_CORRUPT).isNull()} | _filled("text"))
+        rows = require(rows, {"line is not a JSON object": F.col(_CORRUPT).isNull()} | _filled("text"))
         return rows.select("id", "text").where(strip(F.col("text")) != "")
     rows = spark.read.text(path).select(F.col("value").alias("text"))
     return rows.where(strip(F.col("text")) != "").select(F.sha1("text").alias("id"), "text")
@@ -86,7 +86,7 @@ def read_benchmarks(spark: SparkSession, path: str) -> DataFrame:
 
 def read_probes(spark: SparkSession, path: str) -> DataFrame:
     """Tokenizer probes; every field filled, ids distinct, at least one row."""
-    rows = require(_json(spark, [path], PROBE).cache(), {"line is not a JSON object": F.col(_CORRUPT).isNull()} | _filled("id", "language", "domain", "text"), "id").drop(_CORRUPT)
+    rows = require(_json(spark, [path], PROBE), {"line is not a JSON object": F.col(_CORRUPT).isNull()} | _filled("id", "language", "domain", "text"), "id").drop(_CORRUPT)
     if rows.isEmpty():
         raise ValueError(f"{path}: no probes found")
     return rows
@@ -96,7 +96,7 @@ def read_corpus(spark: SparkSession, path: str, needed: Sequence[str] = ("id", "
     """Corpus rows; the ``needed`` fields must be there. A file that isn't JSON lines gives its non-empty lines."""
     if not path.endswith(".jsonl"):
         return spark.read.text(path).select(F.col("value").alias("text")).where("text <> ''")
-    rows = require(_json(spark, [path], CORPUS).cache(), {"line is not a JSON object": F.col(_CORRUPT).isNull()} | {f"{c} is missing": F.col(c).isNotNull() for c in needed}).drop(_CORRUPT)
+    rows = require(_json(spark, [path], CORPUS), {"line is not a JSON object": F.col(_CORRUPT).isNull()} | {f"{c} is missing": F.col(c).isNotNull() for c in needed}).drop(_CORRUPT)
     if rows.isEmpty():
         raise ValueError(f"{path}: empty corpus")
     return rows
@@ -114,7 +114,7 @@ def suite_rules(metrics: Sequence[str] = tuple(METRICS)) -> dict[str, Column]:
 
 def read_suite(spark: SparkSession, path: str) -> DataFrame:
     """Tasks of a scored suite, checked; at least one."""
-    rows = require(_json(spark, [path], SUITE).cache(), {"line is not a JSON object": F.col(_CORRUPT).isNull()} | suite_rules(), "id").drop(_CORRUPT)
+    rows = require(_json(spark, [path], SUITE), {"line is not a JSON object": F.col(_CORRUPT).isNull()} | suite_rules(), "id").drop(_CORRUPT)
     if rows.isEmpty():
         raise ValueError(f"{path}: no tasks found")
     return rows
@@ -147,8 +147,12 @@ def write_records(rows: DataFrame, path: str, order: str | None = "pos", files:
 
 def differs(expected: DataFrame, actual: DataFrame) -> bool:
     """Whether two tables hold other rows (as bags)."""
-    same = expected.columns == actual.columns
-    return not same or not (expected.exceptAll(actual).isEmpty() and actual.exceptAll(expected).isEmpty())
+    if expected.columns != actual.columns:
+        return True
+    maps = [f.name for f in expected.schema.fields if isinstance(f.dataType, T.MapType)]
+    plain = {m: F.array_sort(F.map_entries(m)) for m in maps}
+    expected, actual = expected.withColumns(plain), actual.withColumns(plain)
+    return not (expected.exceptAll(actual).isEmpty() and actual.exceptAll(expected).isEmpty())
 
 
 def relative_path(path: str | Path, root: str | Path) -> str:
