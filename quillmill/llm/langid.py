@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.sentences import grammar_languages, spans
-from quillmill.llm.textsets import code_points, steps
+from quillmill.functions.shingles import code_points, steps
 from quillmill.llm.visual import forms_of
 
 LANGUAGES = ("en", "ja", "fr", "de", "es")

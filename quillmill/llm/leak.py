@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.fmindex import FMIndex
-from quillmill.llm.textsets import steps
+from quillmill.functions.shingles import steps
 from quillmill.llm.visual import consistent_form, forms_of
 
 #: Units of a searched phrase: words, and signs where the text is Japanese.

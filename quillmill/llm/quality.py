@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quillmill.llm.boosting import BoostedTrees
 from quillmill.llm.checked import CHECKED
 from quillmill.llm.sentences import ALL_GRAMMAR, spans
-from quillmill.llm.textsets import code_points
+from quillmill.functions.shingles import code_points
 from quillmill.llm.visual import forms_of
 
 #: Rows of the weakly labelled sample, and the sentence shares that label a row as junk or as prose.

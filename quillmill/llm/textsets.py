@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -10,86 +11,28 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.functions.shingles import HASH_BITS, HASH_MASK, pieces, shared_counts, steps
 from quillmill.llm.visual import forms_of
-from quillmill.plans.durable import buckets, cut_by
-
-#: Characters of text that one vectorised step holds; batches are cut into steps of about this size.
-STEP_CHARS = 1_000_000
-#: Code points in a piece.
-PIECE = 5
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-_DOC_BITS, _HASH_BITS = np.uint64(20), np.uint64(44)
-
-
-def steps(texts: list[str], most: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts with about ``most`` characters each; a longer text makes a range of its own."""
-    start = held = 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > most:
-            yield start, i
-            start, held = i, 0
-        held += len(t)
-    if start < len(texts):
-        yield start, len(texts)
-
-
-def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All code points of ``texts`` in one array, and where each text starts (one more entry at the end)."""
-    lens = np.fromiter((len(t) for t in texts), np.int64, len(texts))
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    return points, np.concatenate([[0], np.cumsum(lens)])
-
-
-def rolling(points: np.ndarray, width: int) -> np.ndarray:
-    """A mixed 64-bit hash of the ``width`` code points from each position (shorter at the very end)."""
-    h = np.zeros(len(points), np.uint64)
-    for k in range(width):
-        part = points[k:].astype(np.uint64)
-        part += np.uint64(k * 0x10FFFF + 1)
-        part *= _M1
-        part ^= part >> np.uint64(29)
-        part *= _M2
-        h[: len(part)] += part
-        h *= np.uint64(0x100000001B3)
-    h ^= h >> np.uint64(32)
-    h *= _M2
-    h ^= h >> np.uint64(31)
-    return h
-
-
-def pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct (text, piece) keys of a step and the first key of each text.
-
-    A key holds the text's number in its upper 20 bits and a 44-bit piece hash below. A text shorter than a piece
-    is one piece; an empty text has none."""
-    points, at = code_points(texts)
-    lens = np.diff(at)
-    h = rolling(points, PIECE) if len(points) else np.zeros(0, np.uint64)
-    doc = np.repeat(np.arange(len(texts), dtype=np.uint64), lens)
-    ok = np.ones(len(points), bool)
-    for k in range(1, PIECE):
-        ends = at[1:] - k
-        ok[ends[lens >= k]] = False
-    for i in np.nonzero((lens > 0) & (lens < PIECE))[0]:
-        ok[at[i]] = True
-        h[at[i]] = np.uint64(xxhash.xxh3_64_intdigest(texts[i].encode("utf-8", "surrogatepass")))
-    keys = (doc[ok] << _HASH_BITS) | (h[ok] >> _DOC_BITS)
-    keys.sort()
-    if len(keys):
-        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
-    return keys, np.searchsorted(keys, np.arange(len(texts) + 1, dtype=np.uint64) << _HASH_BITS)
-
+from quillmill.plans.durable import buckets, cut, cut_by
 
+_M1 = np.uint64(0x9E3779B97F4A7C15)
 #: Words of a sketch; each of its bits is one bit of the first piece after one of the places on the hash ring.
 SKETCH_WORDS = 4
-ROWS = "id string, doc long, form string, train boolean, held boolean, source string"
-DISTINCT = ROWS + ", pieces int, " + ", ".join(f"s{k} long" for k in range(SKETCH_WORDS))
+MEMBERS = "id string, doc long, train boolean, held boolean, source string"
+FORMS = "doc long, form string, pieces int, " + ", ".join(f"s{k} long" for k in range(SKETCH_WORDS))
+
+
+class Texts(NamedTuple):
+    """Records as texts: ``members`` has one row per id, ``forms`` one row per distinct consistent form."""
+
+    members: DataFrame
+    forms: DataFrame
 
 
 def ring(keys: np.ndarray, at: np.ndarray, rows: np.ndarray, places: int) -> np.ndarray:
     """For each of ``rows`` and each of ``places`` even places on the hash ring, the number of the piece that follows."""
-    spots = (np.arange(places, dtype=np.uint64) * np.uint64((1 << 44) // places))[None, :]
-    first = np.searchsorted(keys, ((rows.astype(np.uint64) << _HASH_BITS)[:, None] | spots).ravel()).reshape(len(rows), places)
+    spots = (np.arange(places, dtype=np.uint64) * np.uint64((1 << HASH_BITS) // places))[None, :]
+    first = np.searchsorted(keys, ((rows.astype(np.uint64) << np.uint64(HASH_BITS))[:, None] | spots).ravel()).reshape(len(rows), places)
     return first - at[:-1][rows][:, None]
 
 
@@ -100,65 +43,76 @@ def sketches(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
     if len(rows):
         first = ring(keys, at, rows, 64 * SKETCH_WORDS)
         n, start = np.diff(at)[rows][:, None], at[:-1][rows][:, None]
-        bits = (((keys[start + first % n] & np.uint64((1 << 44) - 1)) * _M1) >> np.uint64(63)).astype(np.uint8)
+        bits = (((keys[start + first % n] & HASH_MASK) * _M1) >> np.uint64(63)).astype(np.uint8)
         out[rows] = np.packbits(bits, axis=1).view(np.int64)
     return out
 
 
-def _formed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _doc_ids(forms: pd.Series) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(f.encode("utf-8", "surrogatepass")) for f in forms), np.uint64, len(forms)).view(np.int64)
+
+
+def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        b = b[b["id"].notna() & b["text"].notna()]
         form = forms_of(b["text"])
-        b = b[(form != "").to_numpy()]
-        form = form[form != ""]
-        doc = np.fromiter((xxhash.xxh3_64_intdigest(f.encode("utf-8", "surrogatepass")) for f in form), np.uint64, len(form)).view(np.int64)
+        b, form = b[(form != "").to_numpy()], form[form != ""]
         split = b["split"]
-        yield pd.DataFrame({"id": b["id"].to_numpy(), "doc": doc, "form": form.to_numpy(), "train": (split == "train").to_numpy(bool), "held": split.isin(("validation", "test")).to_numpy(bool), "source": b["source"].to_numpy()})
+        yield pd.DataFrame({"id": b["id"].to_numpy(), "doc": _doc_ids(form), "train": (split == "train").to_numpy(bool), "held": split.isin(("validation", "test")).to_numpy(bool), "source": b["source"].to_numpy()})
 
 
-def distinct_texts(records: DataFrame, split: str | None = None, source: str | None = None) -> DataFrame:
-    """The written table of rows by id: (id, doc, form, train, held, source); ``form`` only on the first id of each doc.
-
-    ``doc`` is the hash of the consistent form, so texts that look the same share it. Each text crosses the network
-    once, and a map-side step drops repeated forms before it does."""
-    split_col = F.lower(F.trim(F.col(split))) if split else F.lit(None).cast("string")
-    source_col = F.col(source).cast("string") if source else F.lit(None).cast("string")
-    rows = records.select("id", "text", split_col.alias("split"), source_col.alias("source")).mapInPandas(_formed, ROWS)
-    placed = rows.repartition(buckets(records.sparkSession), "doc").mapInPandas(_first_keeps_text, DISTINCT)
-    return cut_by(placed, "doc", "texts")
+def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Forms that are new in this task: a text that a third of the rows repeat leaves each task once."""
+    seen: set[int] = set()
+    for b in batches:
+        form = forms_of(b["text"])
+        form = form[form != ""].drop_duplicates()
+        docs = _doc_ids(form)
+        new = np.array([d not in seen for d in docs], dtype=bool)
+        seen.update(docs[new])
+        yield pd.DataFrame({"doc": docs[new], "form": form.to_numpy()[new]})
 
 
-def _first_keeps_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    docs: set[int] = set()
-    ids: set[str] = set()
+def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    seen: set[int] = set()
     for b in batches:
-        b = b[~b["id"].duplicated()]
-        b = b[[i not in ids for i in b["id"]]]
-        ids.update(b["id"])
-        new = ~b["doc"].duplicated() & np.array([d not in docs for d in b["doc"]], dtype=bool)
-        docs.update(b["doc"])
-        b["form"] = b["form"].where(new, None)
-        b["pieces"] = 0
-        words = np.zeros((len(b), SKETCH_WORDS), np.int64)
-        rows, forms = np.nonzero(new.to_numpy())[0], list(b["form"][new])
-        size = np.zeros(len(b), np.int32)
+        b = b[~b["doc"].duplicated()]
+        b = b[[d not in seen for d in b["doc"]]].reset_index(drop=True)
+        seen.update(b["doc"])
+        forms = list(b["form"])
+        words, size = np.zeros((len(b), SKETCH_WORDS), np.int64), np.zeros(len(b), np.int32)
         for lo, hi in steps(forms):
             keys, at = pieces(forms[lo:hi])
-            words[rows[lo:hi]] = sketches(keys, at)
-            size[rows[lo:hi]] = np.diff(at)
+            words[lo:hi] = sketches(keys, at)
+            size[lo:hi] = np.diff(at)
         b["pieces"] = size
         for k in range(SKETCH_WORDS):
             b[f"s{k}"] = words[:, k]
         yield b
 
 
-def plausible(candidates: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def distinct_texts(records: DataFrame, split: str | None = None, source: str | None = None) -> Texts:
+    """Written tables of ``records`` (id, text, ...): ids with the hash of their form, and each form once.
+
+    Texts that look the same share a ``doc``. Only forms that a task has not seen yet are shuffled; the ids are
+    spread by id, so a text that a third of the rows repeat makes no hot partition. ``forms`` is bucketed by
+    ``doc``. Null ids, null texts and blank texts are left out; an id delivered twice is one member."""
+    split_col = F.lower(F.trim(F.col(split))) if split else F.lit(None).cast("string")
+    source_col = F.col(source).cast("string") if source else F.lit(None).cast("string")
+    there = records.where(F.col("id").isNotNull() & F.col("text").isNotNull())
+    members = there.select("id", "text", split_col.alias("split"), source_col.alias("source")).mapInPandas(_members, MEMBERS)
+    members = members.groupBy("id").agg(*[F.min(c).alias(c) for c in ("doc", "train", "held", "source")])
+    forms = there.select("text").mapInPandas(_forms, "doc long, form string")
+    forms = forms.repartition(buckets(records.sparkSession), "doc").mapInPandas(_sketched, FORMS)
+    return Texts(cut(members, "members"), cut_by(forms, "doc", "forms"))
+
+
+def plausible(candidates: DataFrame, forms: DataFrame, threshold: float) -> DataFrame:
     """Candidate pairs (a, b) whose sizes and sketches allow ``threshold``; without any text.
 
     Equal bits of two sketches estimate the common share of pieces. A pair is dropped only where the estimate lies
     more than five standard errors below the threshold, counted on the pieces that the smaller text really has."""
     words = [f"s{k}" for k in range(SKETCH_WORDS)]
-    table = texts.where("form is not null").select("doc", "pieces", *words)
+    table = forms.select("doc", "pieces", *words)
     side = lambda x: table.select(F.col("doc").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("pieces", *words)])
     joined = candidates.join(side("a"), "a").join(side("b"), "b")
     small, large = F.least("a_pieces", "b_pieces"), F.greatest("a_pieces", "b_pieces")
@@ -176,27 +130,20 @@ JUDGED = "a long, b long, similarity double"
 def _judge(threshold: float):
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for lo, hi in steps([x + y for x, y in zip(b["form_a"], b["form_b"])], STEP_CHARS):
+            left, right = list(b["form_a"]), list(b["form_b"])
+            for lo, hi in steps([x + y for x, y in zip(left, right)]):
                 part = b.iloc[lo:hi]
-                both = list(part["form_a"]) + list(part["form_b"])
-                keys, at = pieces(both)
-                n, sizes = len(part), np.diff(at)
-                low = np.uint64((1 << 44) - 1)
-                pair = (np.repeat(np.arange(2 * n), sizes) % n).astype(np.uint64)
-                merged = (pair << _HASH_BITS) | (keys & low)
-                merged.sort()
-                twice = merged[1:][merged[1:] == merged[:-1]] >> _HASH_BITS
-                common = np.bincount(twice.astype(np.int64), minlength=n)
-                share = common / np.maximum(sizes[:n] + sizes[n:] - common, 1)
+                a, c, common = shared_counts(left[lo:hi], right[lo:hi])
+                share = common / np.maximum(a + c - common, 1)
                 ok = share >= threshold
                 yield pd.DataFrame({"a": part["a"].to_numpy()[ok], "b": part["b"].to_numpy()[ok], "similarity": share[ok]})
 
     return judge
 
 
-def verified(candidates: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def verified(candidates: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
     """Candidate pairs (a, b) of docs whose pieces overlap by ``threshold`` or more, exactly: (a, b, similarity)."""
-    forms = texts.where("form is not null").select("doc", "form")
-    left = plausible(candidates, texts, threshold).join(forms.select(F.col("doc").alias("a"), F.col("form").alias("form_a")), "a")
+    forms = table.select("doc", "form")
+    left = plausible(candidates, table, threshold).join(forms.select(F.col("doc").alias("a"), F.col("form").alias("form_a")), "a")
     full = left.join(forms.select(F.col("doc").alias("b"), F.col("form").alias("form_b")), "b")
     return full.select("a", "b", "form_a", "form_b").mapInPandas(_judge(threshold), JUDGED)
