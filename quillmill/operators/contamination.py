@@ -6,19 +6,18 @@ each batch of documents meets them in one vectorised pass; a larger set is joine
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmill.functions.shingles import HASH_MASK, pieces, steps
 from quillmill.functions.text import char_ngrams, content_hash, normalize_text, round4
 
 #: Largest benchmark set, in n-grams, that is handed to every worker.
 MOST_GRAMS = 20_000_000
-_SCORED = "score double"
+_SCORED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("same", T.BooleanType())])
 
 
 def benchmark_profiles(benchmarks: DataFrame) -> DataFrame:
@@ -30,6 +29,7 @@ class _Profiles:
     """n-grams of all benchmark texts, sorted, with the texts that hold each."""
 
     def __init__(self, texts: list[str], n: int) -> None:
+        self.texts = frozenset(texts)
         self.sizes = np.zeros(len(texts), np.int64)
         grams, owners = [], []
         for lo, hi in steps(texts):
@@ -64,17 +64,19 @@ class _Profiles:
         return out
 
 
-def _score(handed, n: int):
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scorer(handed, n: int):
+    """A column function: highest share (rounded) and equality of a normalised text with the benchmark texts."""
+
+    def score(s: pd.Series) -> pd.DataFrame:
         profiles = handed.value
-        for b in batches:
-            texts = [t or "" for t in b["norm"]]
-            best = np.zeros(len(texts))
-            for lo, hi in steps(texts):
-                best[lo:hi] = profiles.best(texts[lo:hi], n)
-            yield pd.DataFrame({"key": b["key"], "score": [round(float(x), 4) for x in best]})
+        texts = [t or "" for t in s]
+        best = np.zeros(len(texts))
+        for lo, hi in steps(texts):
+            best[lo:hi] = profiles.best(texts[lo:hi], n)
+        same = [t in profiles.texts for t in texts]
+        return pd.DataFrame({"score": [1.0 if e else round(float(x), 4) for x, e in zip(best, same)], "same": same})
 
-    return score
+    return F.pandas_udf(score, _SCORED)
 
 
 def _joined_scores(texts: DataFrame, profiles: DataFrame, n: int) -> DataFrame:
@@ -94,7 +96,7 @@ def _joined_scores(texts: DataFrame, profiles: DataFrame, n: int) -> DataFrame:
 def flag_contaminated(records: DataFrame, benchmarks: DataFrame, key: str = "id", threshold: float = 0.8, n: int = 5, joined: bool | None = None) -> DataFrame:
     """``records`` with ``contaminated`` and ``contamination_score`` (rounded; 1.0 for an exact match).
 
-    ``key`` must be unique. Without benchmark texts nothing is flagged and every score is 0. A null text counts as
+    For large benchmark sets ``key`` must be unique. Without benchmark texts nothing is flagged and every score is 0. A null text counts as
     empty. ``joined`` forces (or forbids) the plan for large benchmark sets."""
     profiles = benchmark_profiles(benchmarks)
     texts = records.select(F.col(key).alias("key"), normalize_text(F.coalesce("text", F.lit(""))).alias("norm"))
@@ -103,17 +105,18 @@ def flag_contaminated(records: DataFrame, benchmarks: DataFrame, key: str = "id"
         return records.withColumns({"contaminated": F.lit(False), "contamination_score": F.lit(0.0)})
     if joined is None:
         joined = grams > MOST_GRAMS
-    if joined:
-        scores = _joined_scores(texts, profiles, n)
-    else:
+    if not joined:
         held = _Profiles([r["text"] for r in profiles.orderBy("text").collect()], n)
         handed = records.sparkSession.sparkContext.broadcast(held)
-        scores = texts.mapInPandas(_score(handed, n), f"key {dict(records.dtypes)[key]}, {_SCORED}")
+        scored = records.withColumn("_found", _scorer(handed, n)(normalize_text(F.coalesce("text", F.lit("")))))
+        flagged = F.col("_found.same") | (F.col("_found.score") >= threshold)
+        return scored.withColumns({"contaminated": flagged, "contamination_score": F.col("_found.score")}).drop("_found")
+    scores = _joined_scores(texts, profiles, n)
     equal = texts.where("norm <> ''").withColumn("_h", content_hash(F.col("norm"))).join(profiles.select(content_hash(F.col("text")).alias("_h")), "_h", "left_semi").select("key", F.lit(True).alias("same"))
-    found = scores.join(equal, "key", "left").select(F.col("key").alias(key), F.coalesce("same", F.lit(False)).alias("_same"), "score")
-    score = F.when(F.col("_same"), F.lit(1.0)).otherwise(F.col("score"))
+    found = scores.join(equal, "key", "left").select(F.col("key").alias(key), F.coalesce("same", F.lit(False)).alias("_same"), F.col("score").alias("_score"))
+    score = F.when(F.col("_same"), F.lit(1.0)).otherwise(F.col("_score"))
     # The score never changes the number of rows: a left join on a unique key.
-    return records.join(found, key, "left").withColumns({"contaminated": F.col("_same") | (F.col("score") >= threshold), "contamination_score": score}).drop("_same", "score")
+    return records.join(found, key, "left").withColumns({"contaminated": F.col("_same") | (F.col("_score") >= threshold), "contamination_score": score}).drop("_same", "_score")
 
 
 def remove_contaminated(records: DataFrame, benchmarks: DataFrame, key: str = "id", threshold: float = 0.8, n: int = 5) -> DataFrame:

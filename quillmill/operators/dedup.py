@@ -2,8 +2,8 @@
 
 The near rule is greedy: in order of position, a record is dropped when it is as similar as the threshold to one
 already kept. That is the lexicographically first maximal independent set of the similarity graph, found here in
-rounds of joins on edges only. The similarity join is exact: prefixes of a global rare-first order, a length
-filter, and verification on whole n-gram sets."""
+rounds of joins on edges only. The similarity join is exact: prefixes of a global rare-first order, extended so that
+similar texts share several n-grams of them; a length filter; and verification on whole n-gram sets."""
 
 from __future__ import annotations
 
@@ -19,8 +19,10 @@ from quillmill.functions.text import content_hash
 from quillmill.plans.durable import cut
 
 #: Counters of the n-gram count sketch that orders n-grams; its size doesn't grow with the data.
-SKETCH_BITS = 18
+SKETCH_BITS = 21
 _SPREAD = 16
+#: Prefixes are longer by this share of a text's n-grams, and so many n-grams of them must be common.
+MEET = 0.02
 
 
 def exact_dedup(records: DataFrame) -> DataFrame:
@@ -73,9 +75,10 @@ def _prefixes(handed, threshold: float, n: int):
                 gram = (keys & HASH_MASK).astype(np.int64)
                 order = np.lexsort((gram, counts[gram & ((1 << SKETCH_BITS) - 1)], doc))
                 rank = np.arange(len(keys)) - at[:-1][doc]
+                need = np.ceil(MEET * size).astype(np.int64)
                 # Slack can only add candidates, so rounding never loses one.
-                keep = rank < (size - np.ceil(threshold * size - 1e-9) + 1)[doc]
-                yield pd.DataFrame({"gram": gram[order][keep], "pos": pos[lo:hi][doc[keep]], "size": size[doc[keep]].astype(np.int32), "rank": rank[keep].astype(np.int32)})
+                keep = rank < (size - np.ceil(threshold * size - 1e-9) + need)[doc]
+                yield pd.DataFrame({"gram": gram[order][keep], "pos": pos[lo:hi][doc[keep]], "size": size[doc[keep]].astype(np.int32), "need": need[doc[keep]].astype(np.int32)})
 
     return prefixes
 
@@ -102,15 +105,13 @@ def similar_pairs(records: DataFrame, threshold: float = 0.8, n: int = 5) -> Dat
         raise ValueError("threshold must be in (0, 1]")
     texts = records.select("pos", "text").where("text <> ''")
     handed = records.sparkSession.sparkContext.broadcast(ngram_counts_sketch(texts, n))
-    index = texts.mapInPandas(_prefixes(handed, threshold, n), "gram long, pos long, size int, rank int")
+    index = texts.mapInPandas(_prefixes(handed, threshold, n), "gram long, pos long, size int, need int")
     x, y = index.alias("x"), index.alias("y")
     t = F.lit(threshold - 1e-9)
     small, large = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
-    # Of the n-grams after a common one in both orders, too few may be left to reach the needed overlap.
-    reach = F.least(F.col("x.size") - F.col("x.rank"), F.col("y.size") - F.col("y.rank")) + F.least("x.rank", "y.rank")
-    needed = t / (1 + t) * (F.col("x.size") + F.col("y.size"))
-    on = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.pos") < F.col("y.pos")) & (small >= large * t) & (reach >= needed)
-    met = x.join(y, on).select(F.col("x.pos").alias("a"), F.col("y.pos").alias("b")).distinct()
+    on = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.pos") < F.col("y.pos")) & (small >= large * t)
+    common = x.join(y, on).groupBy(F.col("x.pos").alias("a"), F.col("y.pos").alias("b")).agg(F.count("*").alias("n"), F.min(F.least("x.need", "y.need")).alias("need"))
+    met = common.where("n >= need").select("a", "b")
     left = met.join(texts.select(F.col("pos").alias("a"), F.col("text").alias("left")), "a")
     both = left.join(texts.select(F.col("pos").alias("b"), F.col("text").alias("right")), "b")
     return both.select("a", "b", "left", "right").mapInPandas(_verify(threshold, n), "a long, b long, common long, total long")

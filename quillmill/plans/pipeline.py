@@ -10,6 +10,7 @@ from quillmill.operators.contamination import flag_contaminated
 from quillmill.operators.dedup import exact_dedup, near_dedup
 from quillmill.operators.ingest import QualityLimits, ingest, quality_filter
 from quillmill.operators.report import corpus_report
+from quillmill.plans.durable import cut
 
 
 @dataclass(frozen=True)
@@ -25,7 +26,8 @@ class Pipeline:
 
     def records(self, texts: DataFrame, benchmarks: DataFrame) -> DataFrame:
         """Clean records of (pos, text)."""
-        rows = ingest(texts, self.source, self.start_index)
+        # Read by every later step more than once: a written table instead of repeated normalisation.
+        rows = cut(ingest(texts, self.source, self.start_index), "ingested")
         rows = exact_dedup(rows) if self.near_threshold is None else near_dedup(rows, self.near_threshold, self.ngram)
         rows = quality_filter(rows, self.limits)
         flagged = flag_contaminated(rows, benchmarks, "id", self.contamination_threshold, self.ngram)
