@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 #: Characters of text that one vectorised step holds; batches are cut into steps of about this size.
-STEP_CHARS = 1_000_000
+STEP_CHARS = 100_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: A key has the text's number in its upper bits and a hash in the lower HASH_BITS.
 HASH_BITS = 44
@@ -36,15 +36,12 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def rolling(points: np.ndarray, width: int) -> np.ndarray:
     """A mixed 64-bit hash of the ``width`` code points from each position (shorter at the very end)."""
+    wide = points.astype(np.uint64)
+    wide += np.uint64(1)
     h = np.zeros(len(points), np.uint64)
     for k in range(width):
-        part = points[k:].astype(np.uint64)
-        part += np.uint64(k * 0x10FFFF + 1)
-        part *= _M1
-        part ^= part >> np.uint64(29)
-        part *= _M2
-        h[: len(part)] += part
-        h *= np.uint64(0x100000001B3)
+        h *= _M1
+        h[: len(points) - k] += wide[k:]
     h ^= h >> np.uint64(32)
     h *= _M2
     h ^= h >> np.uint64(31)
