@@ -41,7 +41,7 @@ def rolling(points: np.ndarray, width: int) -> np.ndarray:
     h = np.zeros(len(points), np.uint64)
     for k in range(width):
         h *= _M1
-        h[: len(points) - k] += wide[k:]
+        h[: max(len(points) - k, 0)] += wide[k:]
     h ^= h >> np.uint64(32)
     h *= _M2
     h ^= h >> np.uint64(31)

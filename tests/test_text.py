@@ -128,3 +128,11 @@ def test_paragraphs(spark):
 
     assert column(spark, texts, cleaners.paragraphs) == [plain(t, r"\n\s*\n") for t in texts]
     assert column(spark, texts, lambda t: cleaners.paragraphs(t, True)) == [plain(t, r"\n+") for t in texts]
+
+
+def test_pieces_of_tiny_steps():
+    from quillmill.functions.shingles import pieces
+
+    for texts in (["a"], ["ab", ""], ["", "abcd"], ["abcde"], [""], []):
+        keys, at = pieces(texts)
+        assert [int(b - a) for a, b in zip(at, at[1:])] == [min(len(t), 1) for t in texts] and len(keys) == at[-1]
