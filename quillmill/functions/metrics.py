@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from quillmill.functions.text import answer_form, last_number, strip
 
+# How an answer names its choice, in words or in parentheses.
+CHOICE_CUE = r"(?iU)answer\s*(?:is|:)?\s*\(?([A-Ja-j])\)?\b"
+CHOICE_PAREN = r"\(([A-Ja-j])\)"
+
 Metric = Callable[[Column, Column], Column]
 
 
@@ -38,8 +42,8 @@ def multiple_choice(prediction: Column, target: Column) -> Column:
     """A single letter, or the letter after an "answer is" cue, or one in parentheses; prose alone is wrong."""
     want = F.lower(strip(target))
     bare = strip(prediction)
-    cue = F.regexp_extract(prediction, r"(?iU)answer\s*(?:is|:)?\s*\(?([A-Ja-j])\)?\b", 1)
-    paren = F.regexp_extract(prediction, r"\(([A-Ja-j])\)", 1)
+    cue = F.regexp_extract(prediction, CHOICE_CUE, 1)
+    paren = F.regexp_extract(prediction, CHOICE_PAREN, 1)
     return F.when(F.length(bare) == 1, F.lower(bare) == want).when(cue != "", F.lower(cue) == want).when(paren != "", F.lower(paren) == want).otherwise(F.lit(False))
 
 

@@ -18,7 +18,8 @@ from quillmill.functions.shingles import pieces, steps
 # Unicode white space, letters and digits as Java patterns.
 WHITE = r"\s\x1c-\x1f\x{85}\p{Z}"
 WORDLIKE = r"\p{L}\p{N}"
-# The runs of blanks and punctuation that answer comparison turns into one blank.
+# A number in an answer; the blanks and punctuation that answer comparison turns into one blank.
+NUMBER = r"([-+]?\p{Nd}[\p{Nd},]*\.?\p{Nd}*)"
 PUNCTUATION = r"""[""" + WHITE + r"""!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~。、，．！？「」『』（）：；]+"""
 
 
@@ -49,7 +50,8 @@ def round4(value: pd.Series) -> pd.Series:
 def normalize_text(text: Column) -> Column:
     """Canonical composition, ``\\n`` line ends, no blanks or tabs at line ends, no blank first or last lines."""
     unix = F.regexp_replace(nfc(text), r"\r\n?", "\n")
-    bare = F.regexp_replace(unix, r"[ \t]+(?=\n|\z)", "")
+    # A run of blanks is only tried from its start, so long runs stay linear.
+    bare = F.regexp_replace(unix, r"(?<![ \t])[ \t]+(?=\n|\z)", "")
     return F.regexp_replace(bare, r"\A\n+|\n+\z", "")
 
 
@@ -157,7 +159,7 @@ def collapse_whitespace(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space at the ends."""
-    return F.regexp_replace(text, rf"\A[{WHITE}]+|[{WHITE}]+\z", "")
+    return F.regexp_replace(text, rf"\A[{WHITE}]+|(?<![{WHITE}])[{WHITE}]+\z", "")
 
 
 def answer_form(text: Column) -> Column:
@@ -167,7 +169,7 @@ def answer_form(text: Column) -> Column:
 
 def last_number(text: Column) -> Column:
     """The last number in a text as a double, commas dropped; null if there is none."""
-    found = F.regexp_extract_all(nfkc(text), F.lit(r"([-+]?\p{Nd}[\p{Nd},]*\.?\p{Nd}*)"), F.lit(1))
+    found = F.regexp_extract_all(nfkc(text), F.lit(NUMBER), F.lit(1))
     plain = F.translate(F.try_element_at(found, F.lit(-1)), ",", "")
     return plain.try_cast("double")
 

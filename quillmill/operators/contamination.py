@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmill.functions.names import free
 from quillmill.functions.shingles import HASH_MASK, pieces, steps
 from quillmill.functions.text import char_ngrams, content_hash, normalize_text, round4
 
@@ -108,15 +109,17 @@ def flag_contaminated(records: DataFrame, benchmarks: DataFrame, key: str = "id"
     if not joined:
         held = _Profiles([r["text"] for r in profiles.orderBy("text").collect()], n)
         handed = records.sparkSession.sparkContext.broadcast(held)
-        scored = records.withColumn("_found", _scorer(handed, n)(normalize_text(F.coalesce("text", F.lit("")))))
-        flagged = F.col("_found.same") | (F.col("_found.score") >= threshold)
-        return scored.withColumns({"contaminated": flagged, "contamination_score": F.col("_found.score")}).drop("_found")
+        name = free(records, "_found")
+        scored = records.withColumn(name, _scorer(handed, n)(normalize_text(F.coalesce("text", F.lit("")))))
+        flagged = F.col(f"{name}.same") | (F.col(f"{name}.score") >= threshold)
+        return scored.withColumns({"contaminated": flagged, "contamination_score": F.col(f"{name}.score")}).drop(name)
     scores = _joined_scores(texts, profiles, n)
     equal = texts.where("norm <> ''").withColumn("_h", content_hash(F.col("norm"))).join(profiles.select(content_hash(F.col("text")).alias("_h")), "_h", "left_semi").select("key", F.lit(True).alias("same"))
-    found = scores.join(equal, "key", "left").select(F.col("key").alias(key), F.coalesce("same", F.lit(False)).alias("_same"), F.col("score").alias("_score"))
-    score = F.when(F.col("_same"), F.lit(1.0)).otherwise(F.col("_score"))
+    same, score_name = free(records, "_same"), free(records, "_score")
+    found = scores.join(equal, "key", "left").select(F.col("key").alias(key), F.coalesce("same", F.lit(False)).alias(same), F.col("score").alias(score_name))
+    score = F.when(F.col(same), F.lit(1.0)).otherwise(F.col(score_name))
     # The score never changes the number of rows: a left join on a unique key.
-    return records.join(found, key, "left").withColumns({"contaminated": F.col("_same") | (F.col("_score") >= threshold), "contamination_score": score}).drop("_same", "_score")
+    return records.join(found, key, "left").withColumns({"contaminated": F.col(same) | (F.col(score_name) >= threshold), "contamination_score": score}).drop(same, score_name)
 
 
 def remove_contaminated(records: DataFrame, benchmarks: DataFrame, key: str = "id", threshold: float = 0.8, n: int = 5) -> DataFrame:

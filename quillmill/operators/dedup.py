@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmill.functions.names import free
 from quillmill.functions.shingles import HASH_MASK, pieces, shared_counts, steps
 from quillmill.functions.text import content_hash
 from quillmill.plans.durable import cut
@@ -30,9 +31,10 @@ def exact_dedup(records: DataFrame) -> DataFrame:
 
     Equal texts are found by SHA-1 of their bytes; the minimum position is aggregated map-side, so a text that
     makes up a third of the rows is no hot partition."""
-    keyed = records.withColumn("_h", F.coalesce(content_hash(F.col("text")), F.lit("")))
-    first = keyed.groupBy("_h").agg(F.min("pos").alias("pos"))
-    return keyed.join(first, ["_h", "pos"], "left_semi").drop("_h")
+    h = free(records, "_h")
+    keyed = records.withColumn(h, F.coalesce(content_hash(F.col("text")), F.lit("")))
+    first = keyed.groupBy(h).agg(F.min("pos").alias("pos"))
+    return keyed.join(first, [h, "pos"], "left_semi").drop(h)
 
 
 def _tally(n: int):
@@ -148,5 +150,6 @@ def near_dedup(records: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFr
 
 def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in the given order."""
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.where("_rank = 1").drop("_rank")
+    rank = free(rows, "_rank")
+    ranked = rows.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.where(F.col(rank) == 1).drop(rank)

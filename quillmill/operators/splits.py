@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.cleaners import paragraphs
+from quillmill.functions.names import free
 
 
 def tail_split(rows: DataFrame, eval_frac: float = 0.12) -> DataFrame:
@@ -21,13 +22,15 @@ def tail_split(rows: DataFrame, eval_frac: float = 0.12) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(*group).orderBy(F.coalesce("id", F.lit("")), F.xxhash64("text")))
     size = F.count("*").over(Window.partitionBy(*group))
     cut = F.greatest(F.lit(1), F.least(size - 1, F.floor(size * F.lit(1 - eval_frac)).cast("long")))
-    return rows.withColumns({"_place": place, "_size": size, "_cut": cut}).withColumn("is_eval", (F.col("_size") >= 2) & (F.col("_place") > F.col("_cut"))).drop("_place", "_size", "_cut")
+    return rows.withColumn("is_eval", (size >= 2) & (place > cut))
 
 
 def heldout_disjoint(split: DataFrame) -> DataFrame:
     """Held-out rows whose text isn't in training; compared by hash, repeated rows are kept."""
-    train = split.where(~F.col("is_eval")).select(F.sha1(F.encode("text", "UTF-8")).alias("_h")).distinct()
-    return split.where("is_eval").withColumn("_h", F.sha1(F.encode("text", "UTF-8"))).join(train, "_h", "left_anti").drop("_h")
+    h = free(split, "_h")
+    hashed = split.withColumn(h, F.sha1(F.encode("text", "UTF-8")))
+    train = hashed.where(~F.col("is_eval")).select(h).distinct()
+    return hashed.where("is_eval").join(train, h, "left_anti").drop(h)
 
 
 def paragraph_rows(sources: DataFrame, fine: bool = False) -> DataFrame:
@@ -74,8 +77,9 @@ def load_order(rows: DataFrame, seed: int | None = None, start: int = 0, limit:
     Places are dense and come from a distributed sort."""
     if start < 0 or (limit is not None and limit < 0):
         raise ValueError("start and limit must be non-negative")
-    keys = ["pos"] if seed is None else ["_k", "pos"]
-    keyed = rows if seed is None else rows.withColumn("_k", F.xxhash64(F.lit(seed), F.col("id")))
+    key = free(rows, "_k")
+    keys = ["pos"] if seed is None else [key, "pos"]
+    keyed = rows if seed is None else rows.withColumn(key, F.xxhash64(F.lit(seed), F.col("id")))
     schema_cols = rows.columns
     ordered = keyed.orderBy(*keys)
     numbered = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(keyed.schema.add("ord", "long", False)).select(*schema_cols, "ord")

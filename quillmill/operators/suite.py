@@ -25,8 +25,7 @@ def run_suite(tasks: DataFrame, predictor: Predictor | str = "gold", metrics: di
     """(id, area, language, metric, passed, prediction): each task scored by its own metric; predictions are cut to
     120 characters."""
     prediction = (PREDICTORS[predictor] if isinstance(predictor, str) else predictor)(tasks)
-    scored = tasks.withColumn("_p", prediction)
-    return scored.select("id", "area", "language", "metric", score(F.col("metric"), F.col("_p"), F.col("answer"), metrics).alias("passed"), truncated(F.col("_p")).alias("prediction"))
+    return tasks.select("id", "area", "language", "metric", score(F.col("metric"), prediction, F.col("answer"), metrics).alias("passed"), truncated(prediction).alias("prediction"))
 
 
 def joined_predictions(tasks: DataFrame, predictions: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, str] = {}
+_WRITTEN: list[tuple[str, str | None]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,6 +42,7 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quillmill/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append((path, None))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,9 +56,21 @@ def cut_by(df: DataFrame, key: str, name: str = "cut") -> DataFrame:
     path = f"{shared_folder(spark)}/quillmill/{table}"
     writer = df.write.format("parquet").option("compression", "zstd").option("path", path)
     writer.bucketBy(buckets(spark), key).saveAsTable(table)
+    _WRITTEN.append((path, table))
     return spark.table(table)
 
 
 def buckets(spark: SparkSession) -> int:
     """Buckets of a table written by ``cut_by``."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def clean(spark: SparkSession) -> None:
+    """Drop every table that this process has cut; DataFrames that still read them can't be used any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path, table = _WRITTEN.pop()
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)

@@ -54,7 +54,7 @@ def near_texts(seed):
 @pytest.mark.parametrize("threshold,n", [(0.6, 3), (0.8, 5), (1.0, 2), (0.0, 5)])
 def test_near_dedup_is_greedy(spark, threshold, n):
     texts = near_texts(7)
-    got = [r["pos"] for r in dedup.near_dedup(records(spark, texts).drop("_h"), threshold, n).orderBy("pos").collect()]
+    got = [r["pos"] for r in dedup.near_dedup(records(spark, texts), threshold, n).orderBy("pos").collect()]
     assert got == greedy(texts, threshold, n)
 
 
@@ -62,18 +62,18 @@ def test_near_dedup_keeps_chain_ends(spark):
     texts = ["abcdefghij", "bcdefghijk", "cdefghijkl"]
     t = share(texts[0], texts[1], 1)
     assert share(texts[0], texts[2], 1) < t
-    got = [r["pos"] for r in dedup.near_dedup(records(spark, texts).drop("_h"), t, 1).orderBy("pos").collect()]
+    got = [r["pos"] for r in dedup.near_dedup(records(spark, texts), t, 1).orderBy("pos").collect()]
     assert got == [0, 2]
 
 
 def test_near_dedup_boundary(spark):
-    rows = records(spark, ["abcd", "abce"]).drop("_h")
+    rows = records(spark, ["abcd", "abce"])
     assert dedup.near_dedup(rows, 0.6, 1).count() == 1
     assert dedup.near_dedup(rows, 0.61, 1).count() == 2
 
 
 def test_exact_dedup_nulls_and_empty(spark):
-    rows = records(spark, ["a", None, "a", None, "", ""]).drop("_h")
+    rows = records(spark, ["a", None, "a", None, "", ""])
     assert [r["pos"] for r in dedup.exact_dedup(rows).orderBy("pos").collect()] == [0, 1, 4]
     assert dedup.exact_dedup(rows.limit(0)).count() == 0
     assert dedup.near_dedup(rows.limit(0)).count() == 0
@@ -93,12 +93,12 @@ def test_ingest_and_filter(spark):
 def test_contamination(spark, joined):
     docs = ["the quick brown fox", "the quick brown fix", "other words here", "", None, "The exact item"]
     bench = spark.createDataFrame([("b1", "the quick brown fox "), ("b2", "The exact item\n"), ("b3", ""), ("b4", None)], "id string, text string")
-    got = {r["pos"]: r for r in contamination.flag_contaminated(records(spark, docs).drop("_h"), bench, "id", 0.6, 5, joined).collect()}
+    got = {r["pos"]: r for r in contamination.flag_contaminated(records(spark, docs), bench, "id", 0.6, 5, joined).collect()}
     for i, d in enumerate(docs):
         want = max(share(d, b, 5) if d else 0.0 for b in ("the quick brown fox", "The exact item")) if d else 0.0
         assert got[i]["contamination_score"] == round(want, 4)
         assert got[i]["contaminated"] == (round(want, 4) >= 0.6)
-    empty = contamination.flag_contaminated(records(spark, docs).drop("_h"), bench.limit(0))
+    empty = contamination.flag_contaminated(records(spark, docs), bench.limit(0))
     assert empty.where("contaminated").count() == 0 and empty.count() == len(docs)
 
 
@@ -144,7 +144,7 @@ def test_byte_budget(spark):
 
 
 def test_load_order(spark):
-    rows = records(spark, [f"t{i}" for i in range(50)]).drop("_h")
+    rows = records(spark, [f"t{i}" for i in range(50)])
     full = [r["id"] for r in splits.load_order(rows, 3).orderBy("ord").collect()]
     assert sorted(full) == sorted(f"r{i}" for i in range(50)) and full != [f"r{i}" for i in range(50)]
     assert [r["id"] for r in splits.load_order(rows, 3, 20, 10).orderBy("ord").collect()] == full[20:30]
@@ -314,3 +314,23 @@ def test_pipeline(spark):
     assert [r["pos"] for r in run.records(rows, bench).orderBy("pos").collect()] == [0, 6]
     total = run.report(rows, bench).where("total").first()
     assert total["records"] == 2 and total["chars"] == len(texts[0]) + len(texts[6])
+
+
+def test_helper_columns_dont_clash(spark):
+    rows = spark.createDataFrame([("a", 0, "t one", "s", "x"), ("b", 1, "t one", "s", "y"), ("c", 2, "t two", "s", "z")], "id string, pos long, text string, source string, _h string")
+    odd = rows.withColumns({n: F.lit(7) for n in ("_k", "_found", "_same", "_score", "_rank", "_place", "ord", "Language")})
+    assert {r["_h"] for r in dedup.exact_dedup(odd).collect()} == {"x", "z"}
+    bench = spark.createDataFrame([("t one",)], "text string")
+    for joined in (False, True):
+        flagged = contamination.flag_contaminated(odd, bench, joined=joined)
+        assert {r["id"]: (r["contaminated"], r["_same"], r["_h"]) for r in flagged.collect()}["a"] == (True, 7, "x")
+    assert dedup.first_per_key(odd, ["text"], ["pos"]).columns == odd.columns
+    assert splits.load_order(odd.drop("ord"), 1).columns == [*odd.drop("ord").columns, "ord"]
+
+
+def test_very_long_texts(spark):
+    long = "word " * 40_000 + " " * 200_000 + "end"
+    rows = spark.createDataFrame([("a", 0, long, "s"), ("b", 1, long + "!", "s"), ("c", 2, "x" * 300_000, "s")], "id string, pos long, text string, source string")
+    assert ingest.ingest(rows, "s").count() == 3
+    assert [r["pos"] for r in dedup.near_dedup(rows, 0.8, 5).orderBy("pos").collect()] == [0, 2]
+    assert ingest.quality_ratios(rows, "id").agg(F.sum("chars")).first()[0] == 2 * len(long) + 1 + 300_000
