@@ -138,9 +138,16 @@ def found_in(texts: list[str], items: Items) -> list[tuple[int, int]]:
         d, i = int(doc[s]), int(item[s])
         if (d, i) in done:
             continue
-        if _holds(coded[d], int(where[s:e].min() - at[d]), int(where[s:e].max() - at[d]), items, i):
-            done.add((d, i))
-            out.append((d, i))
+        # A chain of hits may drift along the text: what counts must stand in one place.
+        reach = max(int(size[i]) // 2, int(slack[s]))
+        at_once = s
+        while at_once < e:
+            upto = at_once + int(np.searchsorted(diagonal[at_once:e], diagonal[at_once] + reach, side="right"))
+            if _holds(coded[d], int(where[at_once:upto].min() - at[d]), int(where[at_once:upto].max() - at[d]), items, i):
+                done.add((d, i))
+                out.append((d, i))
+                break
+            at_once = upto
     return out
 
 

@@ -23,7 +23,7 @@ LEAST_WORDS, LEAST_SIGNS, GRAMMAR_SHARE = 4, 8, 0.15
 
 _ENGLISH_ETC = {w: lang for lang in GRAMMAR_WORDS for w in GRAMMAR_WORDS[lang].split()}
 ALL_GRAMMAR = frozenset(_ENGLISH_ETC)
-_END = re.compile(r"""[.!?…。！？]+["'”’»」』)\]]*(?:[ ]\((?:sic|\d+)\))?(?=\s|$|[「『“"«])|[。！？]+[」』”)]*|[」』](?=\s|$)|\n[ \t]*\n|\Z""")
+_END = re.compile(r"""(?<![.!?…。！？])[.!?…。！？]++["'”’»」』)\]]*(?:[ ]\((?:sic|\d+)\))?(?=\s|$|[「『“"«])|[。！？]+[」』”)]*|[」』](?=\s|$)|\n[ \t]*\n|\Z""")
 _HARD = re.compile(r"[|\t<>{}=\\]|https?://|www\.|\w[:;]\s*$")
 _MARK = re.compile(r"\s*(?:[-*•·‣▪◦+>#]+|\[[ xX]?\]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")

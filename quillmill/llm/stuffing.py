@@ -11,7 +11,8 @@ mostly statements, assignments or calls are left out.
 The automaton is linear in the page. It is skipped only for a page whose grammar words already show that more than
 half of it is running prose without a dominating word, which can't be a case.
 
-Defined results: null and blank texts are no cases; a text is judged whole whatever its length; rows are judged one
+Defined results: null and blank texts are no cases; a text is judged whole whatever its length
+(in blocks of ``AT_ONCE`` units); rows are judged one
 by one, so repeated texts give the same verdict.
 """
 
@@ -31,11 +32,13 @@ from quillmill.llm.visual import forms_of
 
 #: Occurrences that make a substring a repetition: this many, and this share of the page's units.
 LEAST_TIMES, LEAST_SHARE = 3, 0.012
+#: Units that one automaton takes; a longer page is covered block by block, against repetitions in the block.
+AT_ONCE = 100_000
 #: A page is a case where more than this share of it is outside clauses, and at least this share of that is covered.
 MOSTLY, DENSITY = 0.5, 0.25
 
 _UNIT = re.compile(r"[一-鿿々]|[ぁ-ゖ]+|[ァ-ヺー]+|[^\W\d_]+|\d+")
-_LINK = re.compile(r"""<a\s[^>]*>[^<\n]{0,120}(?:</a>)?|\[[^\]\n]{1,120}\]\([^)\s]+\)|(?:https?://|www\.)[^\s<>"')\]|]+|[\w.-]+\.(?:test|example|invalid|com|net|org|info|html)(?:/[^\s<>"')\]|]*)?""")
+_LINK = re.compile(r"""<a\s[^>]*>[^<\n]{0,120}(?:</a>)?|\[[^\]\n]{1,120}\]\([^)\s]+\)|(?:https?://|www\.)[^\s<>"')\]|]+|(?<![\w.-])[\w-]{1,63}(?:\.[\w-]{1,63}){0,5}\.(?:test|example|invalid|com|net|org|info|html)\b(?:/[^\s<>"')\]|]*)?""")
 _CODE_TAG = re.compile(r"(?:SKU|No\.|ref-|art\.|item|id)[ -]?\d+", re.I)
 _TAGGED = re.compile(r"(?:^|(?<=[|/\n,;•·»]))[^|/\n,;•·»]{1,60}?\s(?:(?:SKU|No\.|ref-|art\.)[ -]?\d+|\(\d+\))(?=\s*(?:$|[|/\n,;•·»]))", re.M)
 _HASH = re.compile(r"(?<!\S)#[^\s#]+")
@@ -121,16 +124,21 @@ def coverage(text: str) -> tuple[float, float, float, float]:
     size = max(n - int(blank.sum()), 1)
     found = list(_UNIT.finditer(text))
     units = [m.group().lower() for m in found]
-    repeated = np.zeros(n, bool)
-    if units:
-        times = max(LEAST_TIMES, int(LEAST_SHARE * len(units)) + 1)
-        for i, far in enumerate(SuffixAutomaton(units).repeated_suffixes(units, times)):
-            if far:
-                first = found[i - far + 1].start()
-                piece = units[i - far + 1 : i + 1]
-                own = sum(len(u) for u in piece if u not in ALL_GRAMMAR and not u.isdigit())
-                if own >= (2 if "一" <= piece[0][0] <= "鿿" or "一" <= piece[-1][0] <= "鿿" else 4):
-                    repeated[first : found[i].end()] = True
+    # Characters of grammar words and numbers don't make a repetition; a sign of Chinese script says more than a letter.
+    own = np.concatenate([[0], np.cumsum([0 if u in ALL_GRAMMAR or u.isdigit() else len(u) for u in units])])
+    han = np.array([u[0] >= "一" and u[0] <= "鿿" for u in units], bool)
+    starts, ends = np.array([m.start() for m in found], np.int64), np.array([m.end() for m in found], np.int64)
+    edges = np.zeros(n + 1, np.int64)
+    for block in range(0, len(units), AT_ONCE):
+        held = units[block : block + AT_ONCE]
+        times = max(LEAST_TIMES, int(LEAST_SHARE * len(held)) + 1)
+        far = np.array(SuffixAutomaton(held).repeated_suffixes(held, times))
+        last = np.nonzero(far)[0] + block
+        first = last - far[last - block] + 1
+        enough = own[last + 1] - own[first] >= np.where(han[first] | han[last], 2, 4)
+        np.add.at(edges, starts[first[enough]], 1)
+        np.add.at(edges, ends[last[enough]], -1)
+    repeated = np.cumsum(edges[:n]) > 0
     links = np.zeros(n, bool)
     _fill(links, _LINK.finditer(text))
     _fill(links, _HASH.finditer(text))

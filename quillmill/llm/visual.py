@@ -46,7 +46,7 @@ _LINE_END = re.compile("\r\n?|[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
 _ODD_END = re.compile("[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
 _SUSPECT = re.compile("[" + "".join(LOOKS_LIKE) + "]")
 _WIDE_BLANK = re.compile(r"[^\S\n ]")
-_AT_END = re.compile(r" +(?=\n|\Z)")
+_AT_END = re.compile(r"(?<! ) +(?=\n|\Z)")
 
 
 def _class(points: list[int]) -> re.Pattern:

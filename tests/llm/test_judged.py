@@ -99,3 +99,17 @@ def test_suffix_automaton(rng):
             for i in range(len(text)):
                 want = max((n for n in range(1, i + 2) if sum(text.startswith(text[i + 1 - n : i + 1], k) for k in range(len(text))) >= times), default=0)
                 assert far[i] == want
+
+
+def test_long_runs_stay_linear():
+    import time
+
+    from quillmill.llm.visual import consistent_form
+
+    began = time.time()
+    for text in ("a" * 300_000, " " * 300_000 + "x", "." * 300_000 + "x", "a." * 150_000, "「" * 100_000, "\n" * 300_000 + "x", "# " * 150_000, "ab-" * 100_000, "[" * 100_000, "http://" * 40_000, "a " * 150_000, "漢" * 200_000):
+        form = consistent_form(text)
+        spans(form)
+        stuffing.is_stuffed(form)
+        quality.features([form])
+    assert time.time() - began < 60
