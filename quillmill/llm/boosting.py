@@ -13,7 +13,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class BoostedTrees:
-    """Binary classifier: depth-limited trees on quantile bins, logistic loss, calibrated afterwards."""
+    """Binary classifier: depth-limited trees on binned features, logistic loss, calibrated afterwards."""
 
     rounds: int = 40
     depth: int = 3
@@ -32,7 +32,9 @@ class BoostedTrees:
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
         x, y = np.nan_to_num(np.asarray(x, float)), np.asarray(y, float)
-        self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
+        inner = np.linspace(0, 1, self.bins + 1)[1:-1]
+        # Quantiles where the rows are, even steps where few are: a rare value between two crowds gets its own bins.
+        self.edges = [np.unique(np.concatenate([np.quantile(v, inner), v.min() + (v.max() - v.min()) * inner])) for v in x.T]
         b = self._binned(x)
         rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
         self.base = float(np.log(rate / (1 - rate)))
@@ -56,7 +58,9 @@ class BoostedTrees:
                 gain = cg**2 / (ch + self.penalty) + (gs - cg) ** 2 / (hs - ch + self.penalty) - gs**2 / (hs + self.penalty)
                 gain[(ch < self.least) | (hs - ch < self.least)] = 0
                 if len(gain) and gain.max() > best[0]:
-                    best = (float(gain.max()), j, int(gain.argmax()))
+                    # Edges between the same two rows are equally good: the middle one is kept.
+                    equal = np.nonzero(gain >= gain.max() * (1 - 1e-9))[0]
+                    best = (float(gain.max()), j, int(equal[len(equal) // 2]))
         if best[1] < 0:
             value = self.rate * gs / (hs + self.penalty)
             tree[node] = (-1, 0, float(value))

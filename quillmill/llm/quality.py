@@ -27,7 +27,7 @@ from quillmill.functions.shingles import code_points
 from quillmill.llm.visual import forms_of
 
 #: Rows of the weakly labelled sample, and the sentence shares that label a row as junk or as prose.
-TRAIN_ROWS, JUNK_BELOW, PROSE_ABOVE = 4000, 0.35, 0.75
+TRAIN_ROWS, JUNK_BELOW, PROSE_ABOVE = 4000, 0.45, 0.55
 #: Probability of prose under which a text is reported.
 PROSE_LEAST = 0.5
 FEATURES = ("chars", "words", "mean_word", "symbol_ratio", "digit_ratio", "upper_ratio", "space_ratio", "kana_ratio", "lines", "mean_line", "end_mark_lines", "item_lines", "common_words", "distinct_words", "sentences", "sentence_share")
