@@ -1,7 +1,7 @@
 """Problem 2: one consistent form for texts that look the same.
 
 ``consistent_form`` decomposes compatibly, maps look-alike letters to the Latin letter they resemble, composes
-again, removes default-ignorable characters, maps every blank to a space and every line end to ``\\n``, and drops
+again, maps Chinese signs and kana drawn alike, removes default-ignorable characters, maps every blank to a space and every line end to ``\\n``, and drops
 blanks at line ends. Characters whose compatibility form is visibly different (superscripts, subscripts, circled
 and squared signs, fractions) stay as they are. Full case folding is a second, coarser form: it makes the blocks
 in which texts are compared, while the form that keeps letter case decides.
@@ -35,16 +35,19 @@ LOOKS_LIKE = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O",
     "Р": "P", "С": "C", "Т": "T", "Х": "X", "Ү": "Y", "Ԁ": "d", "а": "a", "е": "e", "о": "o", "р": "p",
     "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
-    "Ԛ": "Q", "Ԝ": "W", "ӏ": "l", "ѵ": "v", "ү": "y", "ɑ": "a", "ɡ": "g", "ı": "i", "օ": "o", "ո": "n",
-    "ս": "u", "հ": "h", "Օ": "O", "Տ": "S", "‐": "-", "‑": "-", "⁃": "-", "−": "-", "ꞏ": "·", "․": ".",
+    "Ԛ": "Q", "Ԝ": "W", "ӏ": "l", "ѵ": "v", "ү": "y", "ɑ": "a", "ɡ": "g", "օ": "o", "ո": "n",
+    "ս": "u", "հ": "h", "Օ": "O", "Տ": "S", "‐": "-", "‑": "-", "ꞏ": "·", "․": ".",
 }
+# Chinese signs and kana that are drawn alike.
+SIGNS_LIKE = {"一": "ー", "口": "ロ", "力": "カ", "二": "ニ", "夕": "タ", "工": "エ", "八": "ハ", "卜": "ト", "丿": "ノ", "ヘ": "へ", "ベ": "べ", "ペ": "ぺ"}
 # Kinds of compatibility mapping that change what a reader sees.
 VISIBLE_KINDS = ("<super>", "<sub>", "<circle>", "<fraction>", "<square>")
 
-_LOOKS = str.maketrans(LOOKS_LIKE)
+_LOOKS, _SIGNS = str.maketrans(LOOKS_LIKE), str.maketrans(SIGNS_LIKE)
 _LINE_END = re.compile("\r\n?|[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
 _ODD_END = re.compile("[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
 _SUSPECT = re.compile("[" + "".join(LOOKS_LIKE) + "]")
+_LIKE_SIGNS = re.compile("[" + "".join(SIGNS_LIKE) + "]")
 _WIDE_BLANK = re.compile(r"[^\S\n ]")
 _AT_END = re.compile(r"(?<! ) +(?=\n|\Z)")
 
@@ -93,6 +96,8 @@ def consistent_form(text: str | None, fold_case: bool = False) -> str | None:
             else:
                 text = unicodedata.normalize("NFKD", text)
             text = unicodedata.normalize("NFC", text.translate(_LOOKS))
+        if _LIKE_SIGNS.search(text):
+            text = unicodedata.normalize("NFC", text.translate(_SIGNS))
     if _ODD_END.search(text):
         text = _LINE_END.sub("\n", text)
     if _WIDE_BLANK.search(text):

@@ -11,7 +11,7 @@ from quillmill.llm import visual
 
 SAME = [
     ("Hello", "Ｈｅｌｌｏ"), ("café", "café"), ("a b", "a b"), ("a b", "a b"), ("ab", "a​b"), ("ab", "a︎b"), ("pace", "расе"), ("fix", "ﬁx"), ("a\nb", "a \r\nb"), ("a", "a  \n"),
-    ("ガ", "ｶﾞ"), ("人", "⼈"), ("ä", "ӓ"), ("a-b", "a‑b"), ("x\ty", "x y"),
+    ("ガ", "ｶﾞ"), ("人", "⼈"), ("ä", "ӓ"), ("a-b", "a‑b"), ("x\ty", "x y"), ("データ", "デ一タ"), ("窓口", "窓ロ"), ("ミルカダル", "ミル力ダル"),
 ]
 OTHER = [("Hello", "hello"), ("cafe", "café"), ("x2", "x²"), ("a.", "a!"), ("a1", "a2"), ("1", "①"), ("ab", "a b"), ("½", "1⁄2"), ("。", ".")]
 
