@@ -8,8 +8,9 @@ texts that share one are candidates, and every candidate is verified exactly on
 
 Two texts with a share J of common pieces agree on a prefix of k tokens with probability J**k at each place, so the
 chance that a pair at the threshold shares none of the places is about (1 - J**k)**ENTRIES. Copies are folded into
-one text beforehand and no bucket or partner list is capped: a bucket of more than ``WIDE`` texts is first split by
-a longer prefix, and what then stays together is paired whole.
+one text beforehand and no bucket or partner list is capped: every bucket is paired whole. A bucket of more than
+``WIDE`` texts is cut into blocks that are paired with each other in different tasks, and of its pairs only those whose
+sizes and sketches allow the threshold (as for every candidate later on) become candidates.
 
 Defined results: null and blank texts take part in no pair; a text shorter than a piece is one piece; rows repeated
 under one id count once; an empty table gives no pairs.
@@ -26,22 +27,21 @@ from pyspark.sql import functions as F
 
 from quillmill.functions.shingles import pieces, steps
 from quillmill.llm.pairs import within_groups
-from quillmill.llm.textsets import Texts, distinct_texts, ring, verified
+from quillmill.llm.textsets import SKETCH_WORDS, Texts, distinct_texts, plausible_pairs, ring, verified
 from quillmill.plans.durable import cut
 
 THRESHOLD = 0.6
-#: Prefixes of a text, the longest combination, and how much longer a crowded bucket's combination gets.
-ENTRIES, LONGEST, LONGER = 32, 8, 3
+#: Prefixes of a text, and the longest combination: a longer one would lose pairs at the threshold.
+#: Four tokens meet with 0.6**4 at a place, so what 32 places miss stays about 1 % there, however many texts there are.
+ENTRIES, LONGEST = 32, 4
 #: Texts in which an indexed combination is expected at most.
 EXPECTED = 0.5
-#: Size from which a bucket is split by its longer combination.
-WIDE = 48
+#: Size from which a bucket's pairs are compared by size and sketch first, and texts of such a bucket that one block takes.
+WIDE, BLOCK = 48, 8192
 #: Counters of the token count sketch; a fixed size, so what is broadcast doesn't grow.
 SKETCH_BITS = 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 44) - 1)
-#: An index entry has a combination in its upper 48 bits, and 16 bits of the longer one.
-_TAIL = np.uint64((1 << 16) - 1)
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,34 +75,28 @@ def token_shares(forms: DataFrame) -> tuple[np.ndarray, int]:
     return (counts / max(texts, 1)).clip(1e-12, 1.0).astype(np.float32), texts
 
 
-def combinations(texts: list[str], shares: np.ndarray, total: int, entries: int = ENTRIES, longest: int = LONGEST, most: float = EXPECTED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index entries of a step: (number of the text, combination, longer combination)."""
+def combinations(texts: list[str], shares: np.ndarray, total: int, entries: int = ENTRIES, longest: int = LONGEST, most: float = EXPECTED) -> tuple[np.ndarray, np.ndarray]:
+    """Index entries of a step: (number of the text, combination)."""
     keys, at = pieces(texts)
     size = np.diff(at)
     rows = np.nonzero(size)[0]
     n, start = size[rows][:, None], at[:-1][rows][:, None]
     first = ring(keys, at, rows, entries)
     combo = np.zeros(first.shape, np.uint64)
-    longer = np.zeros(first.shape, np.uint64)
     expected = np.full(first.shape, float(total))
-    left = np.full(first.shape, LONGER)
-    for k in range(longest + LONGER):
+    for k in range(longest):
         token = keys[start + (first + k) % n] & _LOW
-        there = k < n
-        grow = there & (expected > most) & (k < longest)
-        more = there & ~grow & (left > 0)
+        grow = (k < n) & (expected > most)
         share = shares[(token & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
         mixed = (token + np.uint64(k + 1)) * _MIX
         mixed ^= mixed >> np.uint64(31)
         combo = np.where(grow, (combo ^ mixed) * _MIX, combo)
-        longer = np.where(more, (longer ^ mixed) * _MIX, longer)
         expected = np.where(grow, expected * share, expected)
-        left = left - more
     text = np.repeat(rows, entries).reshape(first.shape)
     order = np.lexsort((combo.ravel(), text.ravel()))
-    t, c, x = text.ravel()[order], combo.ravel()[order], longer.ravel()[order]
+    t, c = text.ravel()[order], combo.ravel()[order]
     new = np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])]) if len(t) else np.zeros(0, bool)
-    return t[new], c[new], x[new]
+    return t[new], c[new]
 
 
 def _index(shares, total: int, *settings):
@@ -111,9 +105,8 @@ def _index(shares, total: int, *settings):
         for b in batches:
             forms, docs = list(b["form"]), b["doc"].to_numpy()
             for lo, hi in steps(forms):
-                t, c, x = combinations(forms[lo:hi], table, total, *settings)
-                entry = (c & ~_TAIL) | (x >> np.uint64(48))
-                yield pd.DataFrame({"entry": entry.view(np.int64), "doc": docs[lo:hi][t]})
+                t, c = combinations(forms[lo:hi], table, total, *settings)
+                yield pd.DataFrame({"entry": (c >> np.uint64(16)).view(np.int64), "doc": docs[lo:hi][t]})
 
     return index
 
@@ -125,6 +118,7 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs (a, b, 0) of docs in one bucket; of a wide bucket its members (bucket, doc, bucket's size)."""
     held = [b for b in batches if len(b)]
     if not held:
         return
@@ -133,11 +127,11 @@ def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     del held
     order = np.argsort(entry)
     entry, doc = entry[order], doc[order]
-    start, size = _runs(entry >> 16)
-    narrow = np.repeat(size <= WIDE, size)
-    entry[narrow] >>= 16
     start, size = _runs(entry)
-    several = size > 1
+    wide = np.repeat(size > WIDE, size)
+    if wide.any():
+        yield pd.DataFrame({"a": entry[wide], "b": doc[wide], "crowd": np.repeat(size, size)[wide].astype(np.int32)})
+    several = (size > 1) & (size <= WIDE)
     start, size = start[several], size[several]
     parts, waiting = [], 0
     for gap in range(1, int(size.max(initial=1))):
@@ -161,20 +155,52 @@ def _counting(sizes: np.ndarray) -> np.ndarray:
 
 
 def _unique(parts: list[np.ndarray]) -> pd.DataFrame:
-    return pd.DataFrame(np.concatenate(parts), columns=["a", "b"]).drop_duplicates()
-
-
-def candidates(forms: DataFrame, entries: int = ENTRIES, longest: int = LONGEST, most: float = EXPECTED) -> DataFrame:
-    """Distinct pairs (a, b) of docs that share an indexed combination."""
+    return pd.DataFrame(np.concatenate(parts), columns=["a", "b"]).drop_duplicates().assign(crowd=np.int32(0))
+
+
+def _block(threshold: float):
+    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        rows = pd.concat(held, ignore_index=True)
+        del held
+        key, doc, size = np.unique(rows["block"], return_inverse=True)[1], rows["doc"].to_numpy(), rows["pieces"].to_numpy()
+        words = [rows[f"s{k}"].to_numpy().view(np.uint64) for k in range(SKETCH_WORDS)]
+        low, high = (np.nonzero(rows[side].to_numpy())[0] for side in ("low", "high"))
+        same = rows["low"].to_numpy() & rows["high"].to_numpy()
+        for i, j in plausible_pairs(*((key[x], size[x], [w[x] for w in words]) for x in (low, high)), threshold):
+            a, b = doc[low[i]], doc[high[j]]
+            ok = (a < b) | ((a != b) & ~same[low[i]])
+            if ok.any():
+                yield pd.DataFrame({"a": np.minimum(a, b)[ok], "b": np.maximum(a, b)[ok]})
+
+    return block
+
+
+def _crowded(members: DataFrame, forms: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of the ``members`` (bucket, doc, size) of wide buckets whose sizes and sketches allow ``threshold``."""
+    rows = members.join(forms.select("doc", "pieces", *[f"s{k}" for k in range(SKETCH_WORDS)]), "doc")
+    slices = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc"), slices).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), slices - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    rows = rows.select(F.xxhash64("bucket", low, high).alias("block"), "doc", "pieces", *[f"s{k}" for k in range(SKETCH_WORDS)], (F.col("own") == low).alias("low"), (F.col("own") == high).alias("high"))
+    return rows.repartition("block").mapInPandas(_block(threshold), "a long, b long")
+
+
+def candidates(forms: DataFrame, threshold: float = THRESHOLD, entries: int = ENTRIES, longest: int = LONGEST, most: float = EXPECTED) -> DataFrame:
+    """Distinct pairs (a, b) of docs that share an indexed combination; those of wide buckets as far as ``threshold`` allows."""
     shares, total = token_shares(forms)
     handed = forms.sparkSession.sparkContext.broadcast(shares)
     entries = forms.select("doc", "form").mapInPandas(_index(handed, total, entries, longest, most), "entry long, doc long")
-    return entries.repartition(F.shiftright("entry", 16)).mapInPandas(_meet, "a long, b long").distinct()
+    met = cut(entries.repartition("entry").mapInPandas(_meet, "a long, b long, crowd int"), "met")
+    members = met.where("crowd > 0").select(F.col("a").alias("bucket"), F.col("b").alias("doc"), F.col("crowd").alias("size"))
+    return met.where("crowd = 0").select("a", "b").unionByName(_crowded(members, forms, threshold)).distinct()
 
 
 def links(forms: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs (a, b, similarity) of different docs with at least ``threshold`` of their pieces in common."""
-    return verified(candidates(forms), forms, threshold)
+    return verified(candidates(forms, threshold), forms, threshold)
 
 
 def expand(found: DataFrame, texts: Texts) -> DataFrame:

@@ -124,6 +124,31 @@ def plausible(candidates: DataFrame, forms: DataFrame, threshold: float) -> Data
     return joined.where((small >= large * F.lit(threshold - 1e-9)) & (same >= F.lit(64.0 * SKETCH_WORDS) * (F.lit(share) - 5 * error))).select("a", "b")
 
 
+def plausible_pairs(left: tuple, right: tuple, threshold: float, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i, j) of ``left`` and ``right`` with equal key whose sizes and sketches allow ``threshold``, in steps.
+
+    A side is (key below 2**31, pieces, sketch words as unsigned columns). Sizes make a window of the sorted right
+    side, so only rows whose sizes fit are compared; sketches are judged as in ``plausible``. No key is cut."""
+    (l_key, l_size, l_words), (r_key, r_size, r_words) = left, right
+    order = np.argsort((r_key.astype(np.int64) << 32) | r_size, kind="stable")
+    ranked = (r_key[order].astype(np.int64) << 32) | r_size[order]
+    base, size = l_key.astype(np.int64) << 32, l_size.astype(np.int64)
+    first = np.searchsorted(ranked, base | np.ceil(size * threshold - 1e-6).astype(np.int64))
+    count = np.searchsorted(ranked, base | np.floor(size / threshold + 1e-6).astype(np.int64), side="right") - first
+    places, share = 64 * len(l_words), (1 + threshold) / 2
+    least = lambda n: np.ceil(places * (share - 5 * (share * (1 - share) / np.minimum(places, np.maximum(n, 1) / 2)) ** 0.5)).astype(np.int16)
+    l_least, r_least, r_words = least(l_size), least(r_size[order]), [w[order] for w in r_words]
+    step = np.cumsum(count) // most
+    cuts = [0, *(np.nonzero(step[1:] != step[:-1])[0] + 1), len(count)] if len(count) else []
+    for lo, hi in zip(cuts, cuts[1:]):
+        n = count[lo:hi]
+        i = np.repeat(np.arange(lo, hi), n)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n - first[lo:hi], n)
+        differ = sum(np.bitwise_count(a[i] ^ b[j]).astype(np.int16) for a, b in zip(l_words, r_words))
+        ok = places - differ >= np.minimum(l_least[i], r_least[j])
+        yield i[ok], order[j[ok]]
+
+
 JUDGED = "a long, b long, similarity double"
 
 
