@@ -30,9 +30,10 @@ from pyspark.sql import functions as F
 from quillmill.llm.sentences import ALL_GRAMMAR, spans
 from quillmill.llm.visual import forms_of
 
-#: Occurrences that make a substring a repetition: this many, and this share of the page's units.
-LEAST_TIMES, LEAST_SHARE = 3, 0.012
-#: Units that one automaton takes; a longer page is covered block by block, against repetitions in the block.
+#: Occurrences that make a substring a repetition: ``LEAST_TIMES`` from ``LONG`` units on; a shorter one needs this
+#: share of the page's units too, but never more than ``ENOUGH_TIMES``.
+LEAST_TIMES, LEAST_SHARE, ENOUGH_TIMES, LONG = 3, 0.012, 12, 4
+#: Units that one automaton takes; in a longer page, substrings of up to ``LONG`` units are counted over all blocks.
 AT_ONCE = 100_000
 #: A page is a case where more than this share of it is outside clauses, and at least this share of that is covered.
 MOSTLY, DENSITY = 0.5, 0.25
@@ -84,12 +85,15 @@ class SuffixAutomaton:
                 count[link[s]] += count[s]
         self.next, self.link, self.length, self.count = nxt, link, length, count
 
-    def repeated_suffixes(self, units: list, times: int) -> list[int]:
-        """For each position, the length of the longest suffix ending there that occurs ``times`` or more."""
+    def repeated_suffixes(self, units: list, times: int, long: int | None = None) -> list[int]:
+        """For each position, the length of the longest suffix ending there that occurs ``times`` or more.
+
+        From ``LONG`` units on, ``long`` occurrences (``times`` by default) are enough."""
+        long = times if long is None else long
         link, length, count = self.link, self.length, self.count
         best = [0] * len(length)
         for s in sorted(range(1, len(length)), key=length.__getitem__):
-            best[s] = length[s] if count[s] >= times else best[link[s]]
+            best[s] = length[s] if count[s] >= (long if length[s] >= LONG else times) else best[link[s]]
         out, state = [], 0
         for u in units:
             state = self.next[state][u]
@@ -117,6 +121,16 @@ def is_prose(text: str) -> bool:
     return max(content.values(), default=0) <= max(4, 0.05 * len(words)) and text.count("://") < 0.02 * len(words) + 2
 
 
+def _counted(units: list, times: int) -> np.ndarray:
+    """For each position, the units (``LONG`` at most) of the longest repetition of the whole page that ends there."""
+    far = np.zeros(len(units), np.int64)
+    for n in range(1, LONG + 1):
+        grams = list(zip(*(units[k:] for k in range(n))))
+        seen, least = Counter(grams), LEAST_TIMES if n == LONG else times
+        far[n - 1 :][[seen[g] >= least for g in grams]] = n
+    return far
+
+
 def coverage(text: str) -> tuple[float, float, float, float]:
     """Shares of the page's non-blank characters: stuffed, repeated, links and tags, clauses."""
     n = len(text)
@@ -129,10 +143,11 @@ def coverage(text: str) -> tuple[float, float, float, float]:
     han = np.array([u[0] >= "一" and u[0] <= "鿿" for u in units], bool)
     starts, ends = np.array([m.start() for m in found], np.int64), np.array([m.end() for m in found], np.int64)
     edges = np.zeros(n + 1, np.int64)
+    times = min(max(LEAST_TIMES, int(LEAST_SHARE * len(units)) + 1), ENOUGH_TIMES)
+    whole = _counted(units, times) if len(units) > AT_ONCE else np.zeros(len(units), np.int64)
     for block in range(0, len(units), AT_ONCE):
         held = units[block : block + AT_ONCE]
-        times = max(LEAST_TIMES, int(LEAST_SHARE * len(held)) + 1)
-        far = np.array(SuffixAutomaton(held).repeated_suffixes(held, times))
+        far = np.maximum(np.array(SuffixAutomaton(held).repeated_suffixes(held, times, LEAST_TIMES)), whole[block : block + AT_ONCE])
         last = np.nonzero(far)[0] + block
         first = last - far[last - block] + 1
         enough = own[last + 1] - own[first] >= np.where(han[first] | han[last], 2, 4)

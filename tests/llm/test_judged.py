@@ -113,3 +113,18 @@ def test_long_runs_stay_linear():
         stuffing.is_stuffed(form)
         quality.features([form])
     assert time.time() - began < 60
+
+
+def _invented(rng, n: int) -> list[str]:
+    return ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(n)]
+
+
+def test_many_keywords_are_stuffing(rng, monkeypatch):
+    keys = _invented(rng, 150)
+    assert stuffing.is_stuffed(", ".join(keys[:100] * 8))
+    rotated = keys * 30
+    rng.shuffle(rotated)
+    assert stuffing.is_stuffed(", ".join(rotated))
+    assert not stuffing.is_stuffed("\n".join(_invented(rng, 900)))
+    monkeypatch.setattr(stuffing, "AT_ONCE", 100)
+    assert stuffing.is_stuffed(", ".join(keys[:120] * 8))
