@@ -1,6 +1,6 @@
 """Problem 9: pages made of repeated keywords, links or product tags.
 
-Each page without clear clause structure gets a suffix automaton over its units (words, or single signs in Chinese
+Each page gets a suffix automaton over its units (words, or single signs in Chinese
 and Japanese script), case-folded. A unit is covered where the longest suffix that ends in it and occurs often
 enough in the page (a repeated maximal substring) reaches over it. Added to that are characters of links and of
 product tags. Full sentences whose units are not such repetitions count as clauses. A page is a case where
@@ -8,8 +8,7 @@ more than half of it lies outside clauses and that part is densely covered (list
 ones; ordinary lists and tables are covered by less than a fifth). Code is no case: pages whose lines are
 mostly statements, assignments or calls are left out.
 
-The automaton is linear in the page. It is skipped only for a page whose grammar words already show that more than
-half of it is running prose without a dominating word, which can't be a case.
+The automaton is linear in the page, and every page gets one.
 
 Defined results: null and blank texts are no cases; a text is judged whole whatever its length
 (in blocks of ``AT_ONCE`` units); rows are judged one
@@ -44,8 +43,6 @@ _CODE_TAG = re.compile(r"(?:SKU|No\.|ref-|art\.|item|id)[ -]?\d+", re.I)
 _TAGGED = re.compile(r"(?:^|(?<=[|/\n,;•·»]))[^|/\n,;•·»]{1,60}?\s(?:(?:SKU|No\.|ref-|art\.)[ -]?\d+|\(\d+\))(?=\s*(?:$|[|/\n,;•·»]))", re.M)
 _HASH = re.compile(r"(?<!\S)#[^\s#]+")
 _STATEMENT = re.compile(r"[{}]\s*$|;\s*$|^\s*(?:def|class|return|import|from|export|const|let|var|if|for|while|raise|function|public|private|@\w+|//|#|\"\"\"|\})\b|^\s*[\w.\[\]\"']+\s*(?:\+?=|:)\s*\S*|\w\(.*\)\s*:?\s*$|^\s*\[[\w.]+\]\s*$|^\s*//")
-_HIRA = re.compile("[ぁ-ゖ]")
-_SIGNS = re.compile("[一-鿿々ぁ-ゖァ-ヺー]")
 
 
 class SuffixAutomaton:
@@ -106,21 +103,6 @@ def _fill(mask: np.ndarray, found: Iterator[re.Match]) -> None:
         mask[m.start() : m.end()] = True
 
 
-def is_prose(text: str) -> bool:
-    """Whether grammar words and the lack of a dominating word already show that most of the page is prose."""
-    signs = len(_SIGNS.findall(text)) if not text.isascii() else 0
-    if signs > 0.3 * len(text):
-        pairs = Counter(text[i : i + 2] for i in range(0, len(text) - 1, 1) if "一" <= text[i] <= "鿿" and "一" <= text[i + 1] <= "鿿")
-        top = max(pairs.values(), default=0)
-        return len(_HIRA.findall(text)) > 0.33 * signs and top <= max(3, 0.02 * len(text))
-    words = text.lower().split()
-    grammar = sum(map(ALL_GRAMMAR.__contains__, words))
-    if grammar <= 0.24 * len(words):
-        return False
-    content = Counter(w for w in words if w not in ALL_GRAMMAR)
-    return max(content.values(), default=0) <= max(4, 0.05 * len(words)) and text.count("://") < 0.02 * len(words) + 2
-
-
 def _counted(units: list, times: int) -> np.ndarray:
     """For each position, the units (``LONG`` at most) of the longest repetition of the whole page that ends there."""
     far = np.zeros(len(units), np.int64)
@@ -175,7 +157,7 @@ def is_code(text: str) -> bool:
 
 def is_stuffed(text: str) -> bool:
     """Whether more than half of the page is repeated keywords, links or product tags."""
-    if not text or is_prose(text) or is_code(text):
+    if not text or is_code(text):
         return False
     stuffed, _, _, clauses = coverage(text)
     return 1 - clauses > MOSTLY and stuffed >= DENSITY * (1 - clauses)

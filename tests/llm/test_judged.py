@@ -128,3 +128,8 @@ def test_many_keywords_are_stuffing(rng, monkeypatch):
     assert not stuffing.is_stuffed("\n".join(_invented(rng, 900)))
     monkeypatch.setattr(stuffing, "AT_ONCE", 100)
     assert stuffing.is_stuffed(", ".join(keys[:120] * 8))
+
+
+def test_links_with_natural_titles_are_stuffing(rng):
+    lines = [f"[The best of the {rng.choice(['garden', 'river', 'market', 'bridge'])} in {a} and {b}](/p{k})" for k, (a, b) in enumerate(zip(_invented(rng, 40), _invented(rng, 40)))]
+    assert stuffing.is_stuffed("\n".join(lines))
