@@ -41,8 +41,10 @@ _UNIT = re.compile(r"[一-鿿々]|[ぁ-ゖ]+|[ァ-ヺー]+|[^\W\d_]+|\d+")
 _LINK = re.compile(r"""<a\s[^>]*>[^<\n]{0,120}(?:</a>)?|\[[^\]\n]{1,120}\]\([^)\s]+\)|(?:https?://|www\.)[^\s<>"')\]|]+|(?<![\w.-])[\w-]{1,63}(?:\.[\w-]{1,63}){0,5}\.(?:test|example|invalid|com|net|org|info|html)\b(?:/[^\s<>"')\]|]*)?""")
 _CODE_TAG = re.compile(r"(?:SKU|No\.|ref-|art\.|item|id)[ -]?\d+", re.I)
 _TAGGED = re.compile(r"(?:^|(?<=[|/\n,;•·»]))[^|/\n,;•·»]{1,60}?\s(?:(?:SKU|No\.|ref-|art\.)[ -]?\d+|\(\d+\))(?=\s*(?:$|[|/\n,;•·»]))", re.M)
+#: A label and a list of plain words: tags, not a statement.
+_LABELLED = re.compile(r"\s*\w+:\s*[^,;()\[\]{}=\"'\d]+(?:[,;][^,;()\[\]{}=\"'\d]+)+[,;]?\s*$")
 _HASH = re.compile(r"(?<!\S)#[^\s#]+")
-_STATEMENT = re.compile(r"[{}]\s*$|;\s*$|^\s*(?:def|class|return|import|from|export|const|let|var|if|for|while|raise|function|public|private|@\w+|//|#|\"\"\"|\})\b|^\s*[\w.\[\]\"']+\s*(?:\+?=|:)\s*\S*|\w\(.*\)\s*:?\s*$|^\s*\[[\w.]+\]\s*$|^\s*//")
+_STATEMENT = re.compile(r"[{}]\s*$|[=(){}\[\]].*;\s*$|^\s*(?:def|class|return|import|from|export|const|let|var|if|for|while|raise|function|public|private|@\w+|//|#(?:include|define|if|ifdef|ifndef|endif|pragma)|\"\"\"|\})\b|^\s*[\w.\[\]\"']+\s*(?:\+?=|:)\s*\S*|\w\(.*\)\s*:?\s*$|^\s*\[[\w.]+\]\s*$|^\s*//")
 
 
 class SuffixAutomaton:
@@ -152,15 +154,15 @@ def coverage(text: str) -> tuple[float, float, float, float]:
 def is_code(text: str) -> bool:
     """Whether most lines are statements, assignments or calls."""
     lines = [x for x in text.split("\n") if x.strip()]
-    return len(lines) > 1 and sum(bool(_STATEMENT.search(x)) and not _LINK.search(x) for x in lines) > 0.6 * len(lines)
+    return len(lines) > 1 and sum(bool(_STATEMENT.search(x)) and not _LINK.search(x) and not _LABELLED.match(x) for x in lines) > 0.6 * len(lines)
 
 
 def is_stuffed(text: str) -> bool:
     """Whether more than half of the page is repeated keywords, links or product tags."""
-    if not text or is_code(text):
+    if not text:
         return False
     stuffed, _, _, clauses = coverage(text)
-    return 1 - clauses > MOSTLY and stuffed >= DENSITY * (1 - clauses)
+    return 1 - clauses > MOSTLY and stuffed >= DENSITY * (1 - clauses) and not is_code(text)
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -133,3 +133,10 @@ def test_many_keywords_are_stuffing(rng, monkeypatch):
 def test_links_with_natural_titles_are_stuffing(rng):
     lines = [f"[The best of the {rng.choice(['garden', 'river', 'market', 'bridge'])} in {a} and {b}](/p{k})" for k, (a, b) in enumerate(zip(_invented(rng, 40), _invented(rng, 40)))]
     assert stuffing.is_stuffed("\n".join(lines))
+
+
+def test_tag_lines_are_no_code(rng):
+    assert stuffing.is_stuffed("\n".join(f"#cheap{rng.choice(['shoes', 'boots'])} #sale #{w}" for w in _invented(rng, 30)))
+    assert stuffing.is_stuffed("\n".join(f"Tags: cheap shoes, cheap boots, cheap {w}" for w in _invented(rng, 30)))
+    assert stuffing.is_stuffed("cheap shoes; cheap boots;\n" * 30)
+    assert not stuffing.is_stuffed("#include <a.h>\nint total = sum(a, b);\nreturn total;\n" * 10)
