@@ -10,7 +10,7 @@ a hash of the id), then once more on the sentences that the first profiles confi
 A sentence speaks for another language than the text's main one only where its distance is clear (``CLEAR``) and
 its grammar words agree; single foreign words or names do neither.
 
-Defined results: null and blank texts and texts that are mostly not sentences have no language; an id delivered
+Defined results: null and blank texts and texts without a full sentence have no language; an id delivered
 twice is reported once; texts are read whole.
 """
 
@@ -29,8 +29,8 @@ from quillmill.functions.shingles import code_points, steps
 from quillmill.llm.visual import forms_of
 
 LANGUAGES = ("en", "ja", "fr", "de", "es")
-#: N-grams kept in a profile, rows that train the profiles, least sentence share of a text that has a language.
-KEPT, TRAIN_ROWS, PROSE_SHARE = 300, 3000, 0.5
+#: N-grams kept in a profile, rows that train the profiles.
+KEPT, TRAIN_ROWS = 300, 3000
 #: Relative distance to the runner-up from which a single sentence speaks for itself.
 CLEAR = 0.06
 _BITS = 6
@@ -244,7 +244,7 @@ def _document(handed, whole: bool):
         for part, forms in _texts(batches):
             found, main, confidence = _read(forms, handed.value, whole)
             share = [sum(p[1] - p[0] for p in parts) / max(len(t.strip()), 1) for parts, t in zip(found, forms)]
-            has = [s >= PROSE_SHARE for s in share]
+            has = [bool(parts) for parts in found]
             yield pd.DataFrame({
                 "id": part["id"].to_numpy(), "label": part["label"].to_numpy(),
                 "language": [LANGUAGES[m] if h else None for m, h in zip(main, has)],

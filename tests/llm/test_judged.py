@@ -140,3 +140,11 @@ def test_tag_lines_are_no_code(rng):
     assert stuffing.is_stuffed("\n".join(f"Tags: cheap shoes, cheap boots, cheap {w}" for w in _invented(rng, 30)))
     assert stuffing.is_stuffed("cheap shoes; cheap boots;\n" * 30)
     assert not stuffing.is_stuffed("#include <a.h>\nint total = sum(a, b);\nreturn total;\n" * 10)
+
+
+def test_language_of_a_sentence_beside_a_list(spark):
+    listed = "\n".join(f"- {w} {k}" for k, w in enumerate("lampe stuhl tisch brett kasten nagel".split() * 6))
+    rows = [*_labelled(spark), ("listed", PROSE["de"][1] + "\n\n" + listed, None), ("only", listed, None)]
+    table = spark.createDataFrame(rows, "id string, text string, label string")
+    got = [tuple(r) for r in langid.mislabelled(table).where("id in ('listed', 'only')").collect()]
+    assert got == [("listed", "de")]
