@@ -11,6 +11,9 @@ import atexit
 import tempfile
 import uuid
 
+import pandas as pd
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, str] = {}
@@ -60,6 +63,23 @@ def cut_by(df: DataFrame, key: str, name: str = "cut") -> DataFrame:
     return spark.table(table)
 
 
+def cut_parts(df: DataFrame, key: str, name: str = "parts") -> str:
+    """Write ``df`` once, one folder for each value of ``key``; the path is for ``read_part``."""
+    path = f"{shared_folder(df.sparkSession)}/quillmill/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").partitionBy(key).parquet(path)
+    _WRITTEN.append((path, None))
+    return path
+
+
+def read_part(path: str, key: str, value: int, columns: list[str]) -> pd.DataFrame:
+    """Rows of one value of ``key``, read by a task itself: what tasks share by reference passes no driver."""
+    files, root = (fs.FileSystem.from_uri(path)) if ":" in path else (fs.LocalFileSystem(), path)
+    folder = f"{root}/{key}={value}"
+    if files.get_file_info(folder).type == fs.FileType.NotFound:
+        return pd.DataFrame({c: [] for c in columns})
+    return pq.read_table(folder, columns=columns, filesystem=files, partitioning=None).to_pandas()
+
+
 def buckets(spark: SparkSession) -> int:
     """Buckets of a table written by ``cut_by``."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
