@@ -9,6 +9,7 @@ over a blank line, an item mark, a table cell or a line that ends in a colon.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 # Grammar words of the languages in use.
@@ -24,6 +25,8 @@ LEAST_WORDS, LEAST_SIGNS, GRAMMAR_SHARE = 4, 8, 0.15
 _ENGLISH_ETC = {w: lang for lang in GRAMMAR_WORDS for w in GRAMMAR_WORDS[lang].split()}
 ALL_GRAMMAR = frozenset(_ENGLISH_ETC)
 _END = re.compile(r"""(?<![.!?…。！？])[.!?…。！？]++["'”’»」』)\]]*(?:[ ]\((?:sic|\d+)\))?(?=\s|$|[「『“"«])|[。！？]+[」』”)]*|[」』](?=\s|$)|\n[ \t]*\n|\Z""")
+#: Characters that one of the ends starts with.
+_MAYBE_END = re.compile("[.!?…。！？」』\n]")
 _HARD = re.compile(r"[|\t<>{}=\\]|https?://|www\.|\w[:;]\s*$")
 _MARK = re.compile(r"\s*(?:[-*•·‣▪◦+>#]+|\[[ xX]?\]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
@@ -34,6 +37,11 @@ _OPENING = re.compile(r"""[\s"'“‘«„「『(\[¿¡—–-]*""")
 _KANA_TAIL = re.compile(r"[ぁ-ゖ][。！？!?.…」』)\s]*$")
 _PARTICLE = re.compile("[はがをにでもと]")
 
+LINK = re.compile(r"""<a\s[^>]*>[^<\n]{0,120}(?:</a>)?|\[[^\]\n]{1,120}\]\([^)\s]+\)|(?:https?://|www\.)[^\s<>"')\]|]+|(?<![\w.-])[\w-]{1,63}(?:\.[\w-]{1,63}){0,5}\.(?:test|example|invalid|com|net|org|info|html)\b(?:/[^\s<>"')\]|]*)?""")
+#: A label and a list of plain words: tags, not a statement.
+_LABELLED = re.compile(r"\s*\w+:\s*[^,;()\[\]{}=\"'\d]+(?:[,;][^,;()\[\]{}=\"'\d]+)+[,;]?\s*$")
+_STATEMENT = re.compile(r"[{}]\s*$|[=(){}\[\]].*;\s*$|^\s*(?:def|class|return|import|from|export|const|let|var|if|for|while|raise|function|public|private|@\w+|//|#(?:include|define|if|ifdef|ifndef|endif|pragma)|\"\"\"|\})\b|^\s*[\w.\[\]\"']+\s*(?:\+?=|:)\s*\S*|\w\(.*\)\s*:?\s*$|^\s*\[[\w.]+\]\s*$|^\s*//")
+
 
 def _breaks(piece: str) -> int:
     """Where the running part of a piece starts: behind its last line that no sentence can run through."""
@@ -64,13 +72,24 @@ def kind(sentence: str, closed: bool = True) -> str | None:
     return "latin" if sum(map(ALL_GRAMMAR.__contains__, words)) >= (GRAMMAR_SHARE if closed else 1.6 * GRAMMAR_SHARE) * len(words) else None
 
 
+def _ends(text: str) -> Iterator[tuple[int, int]]:
+    """Where sentences may end: (start, end) of each closing mark, blank line, and the end of the text."""
+    upto = 0
+    for c in _MAYBE_END.finditer(text):
+        if c.start() >= upto:
+            m = _END.match(text, c.start())
+            if m:
+                upto = m.end()
+                yield m.span()
+    yield len(text), len(text)
+
+
 def spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the full sentences of ``text``."""
     found = []
     at = 0
-    for m in _END.finditer(text):
-        end = m.end()
-        closed = end > m.start() and text[m.start()] != "\n"
+    for start, end in _ends(text):
+        closed = end > start and text[start] != "\n"
         piece = text[at:end]
         start = at
         if len(piece) > LEAST_SIGNS:
@@ -84,6 +103,12 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def is_code(text: str) -> bool:
+    """Whether most lines of a text of several lines are statements, assignments or calls."""
+    lines = [x for x in text.split("\n") if x.strip()]
+    return len(lines) > 1 and sum(bool(_STATEMENT.search(x)) and not LINK.search(x) and not _LABELLED.match(x) for x in lines) > 0.6 * len(lines)
+
+
 @lru_cache(maxsize=1)
 def grammar_languages() -> dict[str, str]:
     """Grammar words that occur in one language only."""

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.sentences import ALL_GRAMMAR, spans
+from quillmill.llm.sentences import ALL_GRAMMAR, LINK, is_code, spans
 from quillmill.llm.visual import forms_of
 
 #: Occurrences that make a substring a repetition: ``LEAST_TIMES`` from ``LONG`` units on; a shorter one needs this
@@ -38,23 +38,28 @@ AT_ONCE = 100_000
 MOSTLY, DENSITY = 0.5, 0.25
 
 _UNIT = re.compile(r"[一-鿿々]|[ぁ-ゖ]+|[ァ-ヺー]+|[^\W\d_]+|\d+")
-_LINK = re.compile(r"""<a\s[^>]*>[^<\n]{0,120}(?:</a>)?|\[[^\]\n]{1,120}\]\([^)\s]+\)|(?:https?://|www\.)[^\s<>"')\]|]+|(?<![\w.-])[\w-]{1,63}(?:\.[\w-]{1,63}){0,5}\.(?:test|example|invalid|com|net|org|info|html)\b(?:/[^\s<>"')\]|]*)?""")
 _CODE_TAG = re.compile(r"(?:SKU|No\.|ref-|art\.|item|id)[ -]?\d+", re.I)
 _TAGGED = re.compile(r"(?:^|(?<=[|/\n,;•·»]))[^|/\n,;•·»]{1,60}?\s(?:(?:SKU|No\.|ref-|art\.)[ -]?\d+|\(\d+\))(?=\s*(?:$|[|/\n,;•·»]))", re.M)
-#: A label and a list of plain words: tags, not a statement.
-_LABELLED = re.compile(r"\s*\w+:\s*[^,;()\[\]{}=\"'\d]+(?:[,;][^,;()\[\]{}=\"'\d]+)+[,;]?\s*$")
 _HASH = re.compile(r"(?<!\S)#[^\s#]+")
-_STATEMENT = re.compile(r"[{}]\s*$|[=(){}\[\]].*;\s*$|^\s*(?:def|class|return|import|from|export|const|let|var|if|for|while|raise|function|public|private|@\w+|//|#(?:include|define|if|ifdef|ifndef|endif|pragma)|\"\"\"|\})\b|^\s*[\w.\[\]\"']+\s*(?:\+?=|:)\s*\S*|\w\(.*\)\s*:?\s*$|^\s*\[[\w.]+\]\s*$|^\s*//")
 
 
 class SuffixAutomaton:
-    """Suffix automaton of a sequence of hashable units, with occurrence counts."""
+    """Suffix automaton of runs of hashable units (``None`` ends a run), with occurrence counts."""
 
     def __init__(self, units: list) -> None:
-        nxt: list[dict] = [{}]
-        link, length, count = [-1], [0], [0]
+        self.next, self.link, self.length, self.count = [{}], [-1], [0], [0]
+        nxt, link, length, count = self.next, self.link, self.length, self.count
         last = 0
         for u in units:
+            if u is None:
+                last = 0
+                continue
+            there = nxt[last].get(u)
+            if there is not None:
+                # Only behind the end of a run: the string is known already.
+                last = there if length[there] == length[last] + 1 else self._clone(last, u, there)
+                count[last] += 1
+                continue
             cur = len(nxt)
             nxt.append({})
             length.append(length[last] + 1)
@@ -66,36 +71,38 @@ class SuffixAutomaton:
                 p = link[p]
             if p >= 0:
                 q = nxt[p][u]
-                if length[p] + 1 == length[q]:
-                    link[cur] = q
-                else:
-                    clone = len(nxt)
-                    nxt.append(nxt[q].copy())
-                    length.append(length[p] + 1)
-                    count.append(0)
-                    link.append(link[q])
-                    while p >= 0 and nxt[p].get(u) == q:
-                        nxt[p][u] = clone
-                        p = link[p]
-                    link[q] = link[cur] = clone
+                link[cur] = q if length[p] + 1 == length[q] else self._clone(p, u, q)
             last = cur
-        for s in sorted(range(1, len(nxt)), key=length.__getitem__, reverse=True):
+        self.order = np.argsort(np.array(length), kind="stable").tolist()
+        for s in reversed(self.order):
             if link[s] >= 0:
                 count[link[s]] += count[s]
-        self.next, self.link, self.length, self.count = nxt, link, length, count
+
+    def _clone(self, p: int, u: object, q: int) -> int:
+        """A state of its own for the shorter strings of ``q`` that end with ``u`` behind ``p``."""
+        clone = len(self.next)
+        self.next.append(self.next[q].copy())
+        self.length.append(self.length[p] + 1)
+        self.count.append(0)
+        self.link.append(self.link[q])
+        while p >= 0 and self.next[p].get(u) == q:
+            self.next[p][u] = clone
+            p = self.link[p]
+        self.link[q] = clone
+        return clone
 
     def repeated_suffixes(self, units: list, times: int, long: int | None = None) -> list[int]:
-        """For each position, the length of the longest suffix ending there that occurs ``times`` or more.
+        """For each position, the length of the longest suffix of its run ending there that occurs ``times`` or more.
 
         From ``LONG`` units on, ``long`` occurrences (``times`` by default) are enough."""
         long = times if long is None else long
         link, length, count = self.link, self.length, self.count
         best = [0] * len(length)
-        for s in sorted(range(1, len(length)), key=length.__getitem__):
+        for s in self.order[1:]:
             best[s] = length[s] if count[s] >= (long if length[s] >= LONG else times) else best[link[s]]
         out, state = [], 0
         for u in units:
-            state = self.next[state][u]
+            state = 0 if u is None else self.next[state][u]
             out.append(best[state])
         return out
 
@@ -116,45 +123,53 @@ def _counted(units: list, times: int) -> np.ndarray:
 
 
 def coverage(text: str) -> tuple[float, float, float, float]:
-    """Shares of the page's non-blank characters: stuffed, repeated, links and tags, clauses."""
+    """Shares of the non-blank characters of a page (in its consistent form): stuffed, repeated, links and tags, clauses."""
     n = len(text)
-    blank = np.fromiter(map(str.isspace, text), bool, n)
-    size = max(n - int(blank.sum()), 1)
-    found = list(_UNIT.finditer(text))
-    units = [m.group().lower() for m in found]
-    # Characters of grammar words and numbers don't make a repetition; a sign of Chinese script says more than a letter.
-    own = np.concatenate([[0], np.cumsum([0 if u in ALL_GRAMMAR or u.isdigit() else len(u) for u in units])])
-    han = np.array([u[0] >= "一" and u[0] <= "鿿" for u in units], bool)
-    starts, ends = np.array([m.start() for m in found], np.int64), np.array([m.end() for m in found], np.int64)
-    edges = np.zeros(n + 1, np.int64)
-    times = min(max(LEAST_TIMES, int(LEAST_SHARE * len(units)) + 1), ENOUGH_TIMES)
-    whole = _counted(units, times) if len(units) > AT_ONCE else np.zeros(len(units), np.int64)
-    for block in range(0, len(units), AT_ONCE):
-        held = units[block : block + AT_ONCE]
-        far = np.maximum(np.array(SuffixAutomaton(held).repeated_suffixes(held, times, LEAST_TIMES)), whole[block : block + AT_ONCE])
-        last = np.nonzero(far)[0] + block
-        first = last - far[last - block] + 1
-        enough = own[last + 1] - own[first] >= np.where(han[first] | han[last], 2, 4)
-        np.add.at(edges, starts[first[enough]], 1)
-        np.add.at(edges, ends[last[enough]], -1)
-    repeated = np.cumsum(edges[:n]) > 0
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = (points == 32) | (points == 10)
+    size = max(n - int(np.count_nonzero(blank)), 1)
+    low = text.lower()
+    at = [m.span() for m in _UNIT.finditer(text)]
+    units = [low[a:b] for a, b in at] if len(low) == n else [text[a:b].lower() for a, b in at]
+    repeated = _repeated(n, at, units)
     links = np.zeros(n, bool)
-    _fill(links, _LINK.finditer(text))
+    _fill(links, LINK.finditer(text))
     _fill(links, _HASH.finditer(text))
     if len(_TAGGED.findall(text)) >= 8:
         _fill(links, _TAGGED.finditer(text))
     clause = np.zeros(n, bool)
+    upto = [np.concatenate([[0], np.cumsum(x, dtype=np.int32)]) for x in (repeated, links)]
     for a, b, _ in spans(text):
-        if repeated[a:b].mean() < 0.45 and links[a:b].mean() < 0.3:
+        if upto[0][b] - upto[0][a] < 0.45 * (b - a) and upto[1][b] - upto[1][a] < 0.3 * (b - a):
             clause[a:b] = True
-    stuffed = (repeated | links) & ~clause & ~blank
-    return float(stuffed.sum() / size), float((repeated & ~blank).sum() / size), float((links & ~blank).sum() / size), float((clause & ~blank).sum() / size)
+    share = lambda x: np.count_nonzero(x & ~blank) / size
+    return share((repeated | links) & ~clause), share(repeated), share(links), share(clause)
 
 
-def is_code(text: str) -> bool:
-    """Whether most lines are statements, assignments or calls."""
-    lines = [x for x in text.split("\n") if x.strip()]
-    return len(lines) > 1 and sum(bool(_STATEMENT.search(x)) and not _LINK.search(x) and not _LABELLED.match(x) for x in lines) > 0.6 * len(lines)
+def _repeated(n: int, at: list[tuple[int, int]], units: list[str]) -> np.ndarray:
+    """Mask of the characters under repeated maximal substrings."""
+    seen = Counter(units)
+    times = min(max(LEAST_TIMES, int(LEAST_SHARE * len(units)) + 1), ENOUGH_TIMES)
+    # A unit that occurs less often than any repetition is in none: it only ends a run.
+    runs = [u if seen[u] >= LEAST_TIMES else None for u in units]
+    mask = np.zeros(n + 1, np.int32)
+    whole = _counted(units, times) if len(units) > AT_ONCE else None
+    # Characters of grammar words and numbers don't make a repetition; a sign of Chinese script says more than a letter.
+    weight = {u: 0 if u is None or u in ALL_GRAMMAR or u.isdigit() else len(u) for u in set(runs)}
+    own = np.concatenate([[0], np.cumsum([weight[u] for u in runs])])
+    for block in range(0, len(units), AT_ONCE):
+        held = runs[block : block + AT_ONCE]
+        far = np.array(SuffixAutomaton(held).repeated_suffixes(held, times, LEAST_TIMES), np.int64)
+        if whole is not None:
+            far = np.maximum(far, whole[block : block + AT_ONCE])
+        last = np.nonzero(far)[0] + block
+        first = last - far[last - block] + 1
+        heavy = own[last + 1] - own[first]
+        for f, e, w in zip(first.tolist(), last.tolist(), heavy.tolist()):
+            if w >= 4 or (w >= 2 and ("一" <= units[f] <= "鿿" or "一" <= units[e] <= "鿿")):
+                mask[at[f][0]] += 1
+                mask[at[e][1]] -= 1
+    return np.cumsum(mask[:n]) > 0
 
 
 def is_stuffed(text: str) -> bool:
