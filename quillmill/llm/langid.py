@@ -10,8 +10,9 @@ a hash of the id), then once more on the sentences that the first profiles confi
 A sentence speaks for another language than the text's main one only where its distance is clear (``CLEAR``) and
 its grammar words agree; single foreign words or names do neither.
 
-Defined results: null and blank texts and texts without a full sentence have no language; an id delivered
-twice is reported once; texts are read whole.
+Defined results: null and blank texts, texts without a full sentence, and program code (most lines are statements and
+less than half of the text is in sentences, so that they are its comments) have no language; every other text with a
+sentence has one, however few they are; an id delivered twice is reported once; texts are read whole.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.sentences import grammar_languages, spans
+from quillmill.llm.sentences import grammar_languages, is_code, spans
 from quillmill.functions.shingles import code_points, steps
 from quillmill.llm.visual import forms_of
 
@@ -131,10 +132,16 @@ def _grammar_vote(sentence: str) -> str | None:
     return best if best and votes[best] * 2 > sum(votes.values()) else None
 
 
+def _own_sentences(text: str) -> list[tuple[int, int, str]]:
+    """Full sentences of a text, however few; a sentence in the comments of program code isn't the text's own."""
+    found = spans(text)
+    return [] if found and 2 * sum(b - a for a, b, _ in found) < len(text) and is_code(text) else found
+
+
 def _read(texts: list[str], profiles: Profiles, whole: bool = True) -> tuple[list[list[tuple[int, int, int, float]]], np.ndarray, np.ndarray]:
     """Stretches (start, end, language, confidence) of each text, its main language, and, where ``whole``, the
     confidence of the whole text's own profile."""
-    found = [spans(t) for t in texts]
+    found = [_own_sentences(t) for t in texts]
     lines = [t[a:b] for t, s in zip(texts, found) for a, b, _ in s]
     owner = np.repeat(np.arange(len(texts)), [len(s) for s in found])
     distance = profiles.distances(lines) if lines else np.ones((0, len(LANGUAGES)))
