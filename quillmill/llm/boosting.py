@@ -92,14 +92,25 @@ class BoostedTrees:
         s, y = self.score(x), np.asarray(y, float)
         pos, neg = y.sum(), len(y) - y.sum()
         target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-        a, c = 1.0, 0.0
+        at, prior = np.array([1.0, 0.0]), np.array([1.0, 0.0])
+
+        def loss(v: np.ndarray) -> float:
+            z = v[0] * s + v[1]
+            return float((np.logaddexp(0, z) - target * z).sum() + 0.005 * ((v - prior) ** 2).sum())
+
         for _ in range(steps):
-            p = _sigmoid(a * s + c)
+            p = _sigmoid(at[0] * s + at[1])
             w = p * (1 - p) + 1e-9
-            grad = np.array([((target - p) * s).sum() - 0.01 * (a - 1), (target - p).sum() - 0.01 * c])
-            hess = np.array([[(w * s * s).sum() + 0.01, (w * s).sum()], [(w * s).sum(), w.sum() + 0.01]])
-            da, dc = np.linalg.solve(hess, grad)
-            a, c = max(a + np.clip(da, -1, 1), 0.05), c + np.clip(dc, -1, 1)
+            grad = np.array([((p - target) * s).sum(), (p - target).sum()]) + 0.01 * (at - prior)
+            hess = np.array([[(w * s * s).sum(), (w * s).sum()], [(w * s).sum(), w.sum()]]) + 0.01 * np.eye(2)
+            move, size = np.linalg.solve(hess, grad), 1.0
+            # A full Newton step may overshoot where the classes are far apart: it is halved until the loss falls.
+            while size > 1e-6 and loss(at - size * move) > loss(at):
+                size /= 2
+            at = at - size * move
+            if size * np.abs(move).max() < 1e-9:
+                break
+        a, c = max(at[0], 0.05), at[1]
         self.slope, self.shift = float(a), float(c)
         return self
 

@@ -6,7 +6,7 @@ import numpy as np
 
 from quillmill.llm import langid, quality, stuffing
 from quillmill.llm.boosting import BoostedTrees
-from quillmill.llm.checked import CHECKED
+from quillmill.llm.checked import holdout, seeds
 from quillmill.llm.sentences import spans
 
 PROSE = {
@@ -48,9 +48,33 @@ def test_not_prose(spark):
     assert len(got) == len(set(got)) and set(got) == {j[0] for j in junk}
     stats = {r["id"]: r for r in quality.statistics(rows).collect()}
     assert stats["null"]["words"] is None and stats["blank"]["chars"] == 0 and stats["en0-0"]["sentence_share"] > 0.9
-    held = quality.features([t for t, _ in CHECKED])
-    share = held[:, quality.FEATURES.index("sentence_share")]
-    assert all((s > 0.5) == bool(y) for s, (_, y) in zip(share, CHECKED))
+
+
+def test_calibration_on_texts_never_trained_on(spark):
+    held = holdout()
+    assert len(held) >= 200 and not {t for t, _ in held} & {t for t, _ in seeds()}
+    rows = spark.createDataFrame(_labelled(spark), "id string, text string, language string")
+    for few in (rows, rows.limit(0)):
+        wrong, error = quality.calibration_error(quality.train(few))
+        print(f"holdout: {wrong:.4f} wrong, calibration error {error:.4f}")
+        assert wrong <= 0.02 and error <= 0.05
+
+
+def test_weak_labels_do_not_read_sentences():
+    code = 'def a(b):\n    """The door was left open by the men of the town."""\n    return b\n' * 3
+    assert quality.weak_label(code, "python_code") == 0
+    assert quality.weak_label(PROSE["en"][0], "english_prose") == 1
+    assert quality.weak_label(PROSE["en"][0], None) is None and quality.weak_label("", "web") is None
+    assert quality.weak_label(JUNK[0], "english_prose") == 0
+
+
+def test_language_of_code_and_of_few_sentences(spark):
+    code = 'def a(b):\n    """The door was left open by the men of the town."""\n    c = b + 1\n    if c > 12:\n        raise ValueError(c)\n    return c\n'
+    listed = PROSE["en"][0] + "\n" + "\n".join(f"- garden chair {k}" for k in range(60))
+    table = spark.createDataFrame([*_labelled(spark), ("code-", code, None), ("list-", listed, "de")], "id string, text string, label string")
+    got = {r["id"]: r["languages"] for r in langid.documents(table).collect()}
+    assert got["code-"] == [] and got["list-"] == ["en"]
+    assert {r["id"] for r in langid.segments(table).where("id in ('code-', 'list-')").collect()} == {"list-"}
 
 
 def test_languages(spark):
@@ -148,3 +172,29 @@ def test_language_of_a_sentence_beside_a_list(spark):
     table = spark.createDataFrame(rows, "id string, text string, label string")
     got = [tuple(r) for r in langid.mislabelled(table).where("id in ('listed', 'only')").collect()]
     assert got == [("listed", "de")]
+
+
+def test_automaton_against_brute_force(rng):
+    from quillmill.llm.automaton import BETWEEN, Automaton
+
+    for width in (1, 3, 7):
+        words = ["".join(rng.choice("abcé猫") for _ in range(width)) for _ in range(40)]
+        text = "".join(rng.choice("abcé猫") for _ in range(3000))
+        machine = Automaton(np.array([[ord(c) for c in w] for w in words], np.uint32))
+        code = {int(k): w for k, w in zip(machine.code, words)}
+        points = np.array([ord(c) for c in text], np.uint32)
+        points[1500] = BETWEEN
+        place, found = machine.scan(points)
+        want = sorted((k + width - 1, text[k : k + width]) for k in range(len(text) - width + 1) if text[k : k + width] in words and not k <= 1500 < k + width)
+        assert sorted((int(p), code[int(c)]) for p, c in zip(place, found)) == want
+
+
+def test_runs_of_frequent_units_give_the_same_repetitions(rng):
+    from collections import Counter
+
+    for _ in range(60):
+        units = [rng.choice("abcdefghijklmnop"[: rng.randint(2, 16)]) for _ in range(rng.randint(1, 90))]
+        seen = Counter(units)
+        whole = stuffing.SuffixAutomaton(units).repeated_suffixes(units, 3)
+        runs = [u if seen[u] >= 3 else None for u in units]
+        assert stuffing.SuffixAutomaton(runs).repeated_suffixes(runs, 3) == whole
