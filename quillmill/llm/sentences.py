@@ -45,6 +45,8 @@ _STATEMENT = re.compile(r"[{}]\s*$|[=(){}\[\]].*;\s*$|^\s*(?:def|class|return|im
 
 def _breaks(piece: str) -> int:
     """Where the running part of a piece starts: behind its last line that no sentence can run through."""
+    if "\n" not in piece and not _HARD.search(piece) and not _MARK.match(piece):
+        return 0
     start = at = 0
     for line in piece.split("\n"):
         end = at + len(line) + 1

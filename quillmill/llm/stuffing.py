@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,6 +32,8 @@ from quillmill.llm.visual import forms_of
 #: Occurrences that make a substring a repetition: ``LEAST_TIMES`` from ``LONG`` units on; a shorter one needs this
 #: share of the page's units too, but never more than ``ENOUGH_TIMES``.
 LEAST_TIMES, LEAST_SHARE, ENOUGH_TIMES, LONG = 3, 0.012, 12, 4
+#: Product tags from which they count as such.
+LEAST_TAGS = 8
 #: Units that one automaton takes; in a longer page, substrings of up to ``LONG`` units are counted over all blocks.
 AT_ONCE = 100_000
 #: A page is a case where more than this share of it is outside clauses, and at least this share of that is covered.
@@ -40,6 +42,8 @@ MOSTLY, DENSITY = 0.5, 0.25
 _UNIT = re.compile(r"[一-鿿々]|[ぁ-ゖ]+|[ァ-ヺー]+|[^\W\d_]+|\d+")
 _CODE_TAG = re.compile(r"(?:SKU|No\.|ref-|art\.|item|id)[ -]?\d+", re.I)
 _TAGGED = re.compile(r"(?:^|(?<=[|/\n,;•·»]))[^|/\n,;•·»]{1,60}?\s(?:(?:SKU|No\.|ref-|art\.)[ -]?\d+|\(\d+\))(?=\s*(?:$|[|/\n,;•·»]))", re.M)
+_HOST_END = re.compile(r"\.(?:test|example|invalid|com|net|org|info|html)\b")
+_TAG_MARK = re.compile(r"(?:SKU|No\.|ref-|art\.)[ -]?\d|\(\d+\)")
 _HASH = re.compile(r"(?<!\S)#[^\s#]+")
 
 
@@ -107,7 +111,7 @@ class SuffixAutomaton:
         return out
 
 
-def _fill(mask: np.ndarray, found: Iterator[re.Match]) -> None:
+def _fill(mask: np.ndarray, found: Iterable[re.Match]) -> None:
     for m in found:
         mask[m.start() : m.end()] = True
 
@@ -133,10 +137,15 @@ def coverage(text: str) -> tuple[float, float, float, float]:
     units = [low[a:b] for a, b in at] if len(low) == n else [text[a:b].lower() for a, b in at]
     repeated = _repeated(n, at, units)
     links = np.zeros(n, bool)
-    _fill(links, LINK.finditer(text))
-    _fill(links, _HASH.finditer(text))
-    if len(_TAGGED.findall(text)) >= 8:
-        _fill(links, _TAGGED.finditer(text))
+    # What every link, hashtag or product tag holds is looked for first.
+    if "<a" in text or "](" in text or "://" in text or "www." in text or _HOST_END.search(text):
+        _fill(links, LINK.finditer(text))
+    if "#" in text:
+        _fill(links, _HASH.finditer(text))
+    if len(_TAG_MARK.findall(text)) >= LEAST_TAGS:
+        tagged = list(_TAGGED.finditer(text))
+        if len(tagged) >= LEAST_TAGS:
+            _fill(links, tagged)
     clause = np.zeros(n, bool)
     upto = [np.concatenate([[0], np.cumsum(x, dtype=np.int32)]) for x in (repeated, links)]
     for a, b, _ in spans(text):
