@@ -93,6 +93,10 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leak.leaked(_table(spark, folder, "documents"), _table(spark, folder, "benchmark_items"))
 
 
+def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return leak.removal_spans(_table(spark, folder, "documents"), _table(spark, folder, "benchmark_items"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return stuffing.stuffed_pages(_table(spark, folder, "documents"))
 

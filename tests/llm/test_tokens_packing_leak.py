@@ -123,3 +123,34 @@ def test_leaked(spark, rng, sentence):
         assert sorted(tuple(r) for r in leak.leaked(table, bench).collect()) == got
     finally:
         leak.BLOCK = old
+
+
+def test_runs_and_chains_against_brute_force(rng):
+    for _ in range(80):
+        left, right = ([rng.randrange(4) for _ in range(rng.randint(1, 14))] for _ in range(2))
+        found = leak.runs(left, right, 2)
+        want = {
+            (i, j, n) for i in range(len(left)) for j in range(len(right)) for n in range(2, 15)
+            if left[i : i + n] == right[j : j + n] and i + n <= len(left) and j + n <= len(right)
+            and not (i and j and left[i - 1] == right[j - 1]) and (i + n == len(left) or j + n == len(right) or left[i + n] != right[j + n])
+        }
+        assert set(found) == want and len(found) == len(want)
+
+        def weight(at, to):
+            return max([n + weight(i + n, j + n) for i, j, n in found if i >= at and j >= to], default=0)
+
+        chain = leak.chained(found)
+        assert sum(n for _, _, n in chain) == weight(0, 0)
+        assert all(a[0] + a[2] <= b[0] and a[1] + a[2] <= b[1] for a, b in zip(chain, chain[1:]))
+
+
+def test_blocks_share_their_instructions_and_spans_merge(spark, monkeypatch):
+    words = "lamp harbour window letter river table garden winter market bridge paper engine silver morning valley stone".split()
+    items = [(f"i{k}", f"Answer the question in one short line please. {words[k]} {words[k + 1]} {words[k + 5]} {words[k + 7]} stands near {words[k + 3]} today") for k in range(8)]
+    docs = [(1, "Before. " + items[2][1] + " After."), (2, "Answer the question in one short line please."), (3, items[0][1] + " " + items[0][1] + " and " + items[5][1]), (4, None), (5, " ")]
+    documents, table = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*items, ("null", None), ("blank", " ")], "id string, text string")
+    for block in (leak.BLOCK, 3):
+        monkeypatch.setattr(leak, "BLOCK", block)
+        assert {tuple(r) for r in leak.leaked(documents, table).collect()} == {(1, "i2"), (3, "i0"), (3, "i5")}
+    spans = [tuple(r) for r in leak.removal_spans(documents, table).orderBy("doc_id", "first").collect()]
+    assert [s[0] for s in spans] == [1, 3, 3, 3] and docs[0][1][spans[0][1] : spans[0][2]].startswith("Answer the") and spans[-1][3] == ["i5"]
