@@ -21,7 +21,7 @@ from quillmill.sources.reports import render_json, render_markdown, save
 
 
 def _ordered(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return cut(R.with_positions(R.read_records(spark, *paths)), "input")
+    return cut(R.read_records(spark, *paths, ordered=True), "input")
 
 
 def _write(rows: DataFrame, path: str, total: int | None = None) -> None:

@@ -6,6 +6,7 @@ spelled out where Java's own are narrower than Unicode's."""
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -23,22 +24,40 @@ NUMBER = r"([-+]?\p{Nd}[\p{Nd},]*\.?\p{Nd}*)"
 PUNCTUATION = r"""[""" + WHITE + r"""!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~。、，．！？「」『』（）：；]+"""
 
 
+def _by_value(text: pd.Series, form: Callable[[str], str]) -> pd.Series:
+    """``form`` once per distinct value of a batch; null stays null."""
+    codes, values = pd.factorize(text)
+    done = np.array([form(v) for v in values] + [None], dtype=object)
+    return pd.Series(done[codes], index=text.index, dtype=object)
+
+
 @F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Canonical composition; texts in ASCII pass through."""
-    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+    return _by_value(text, lambda t: t if t.isascii() else unicodedata.normalize("NFC", t))
 
 
 @F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility composition."""
-    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+    return _by_value(text, lambda t: t if t.isascii() else unicodedata.normalize("NFKC", t))
+
+
+@F.pandas_udf(StringType())
+def nfkc_digits(text: pd.Series) -> pd.Series:
+    """Compatibility composition, and the decimal digits of every script as 0 to 9."""
+
+    def plain(t: str) -> str:
+        t = unicodedata.normalize("NFKC", t)
+        return "".join(str(unicodedata.decimal(c)) if c > "\x7f" and c.isdecimal() else c for c in t)
+
+    return _by_value(text, lambda t: t if t.isascii() else plain(t))
 
 
 @F.pandas_udf(StringType())
 def nfkc_casefold(text: pd.Series) -> pd.Series:
     """Compatibility composition, then full case folding."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+    return _by_value(text, lambda t: unicodedata.normalize("NFKC", t).casefold())
 
 
 @F.pandas_udf(DoubleType())
@@ -169,7 +188,7 @@ def answer_form(text: Column) -> Column:
 
 def last_number(text: Column) -> Column:
     """The last number in a text as a double, commas dropped; null if there is none."""
-    found = F.regexp_extract_all(nfkc(text), F.lit(NUMBER), F.lit(1))
+    found = F.regexp_extract_all(nfkc_digits(text), F.lit(NUMBER), F.lit(1))
     plain = F.translate(F.try_element_at(found, F.lit(-1)), ",", "")
     return plain.try_cast("double")
 

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.cleaners import paragraphs
 from quillmill.functions.names import free
+from quillmill.plans.durable import cut
+from quillmill.sources.records import with_positions
 
 
 def tail_split(rows: DataFrame, eval_frac: float = 0.12) -> DataFrame:
@@ -19,10 +23,14 @@ def tail_split(rows: DataFrame, eval_frac: float = 0.12) -> DataFrame:
     A group of one row stays in training. A missing source is its language; a missing id is empty; equal ids keep
     a stable but arbitrary order among themselves."""
     group = [F.col("language"), F.coalesce("source", "language")]
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.coalesce("id", F.lit("")), F.xxhash64("text")))
-    size = F.count("*").over(Window.partitionBy(*group))
-    cut = F.greatest(F.lit(1), F.least(size - 1, F.floor(size * F.lit(1 - eval_frac)).cast("long")))
-    return rows.withColumn("is_eval", (size >= 2) & (place > cut))
+    place = F.row_number().over(Window.partitionBy("_lang", "_source").orderBy("_id", "_h", "_row"))
+    size = F.count("*").over(Window.partitionBy("_lang", "_source"))
+    last = F.greatest(F.lit(1), F.least(size - 1, F.floor(size * F.lit(1 - eval_frac)).cast("long")))
+    # Only keys are ranked: no text passes through a window. The rows' numbers come from a written table.
+    held = cut(rows.withColumn("_row", F.monotonically_increasing_id()), "split")
+    keys = held.select(group[0].alias("_lang"), group[1].alias("_source"), F.coalesce("id", F.lit("")).alias("_id"), F.xxhash64("text").alias("_h"), "_row")
+    ranked = keys.select("_row", ((size >= 2) & (place > last)).alias("is_eval"))
+    return held.join(ranked, "_row").drop("_row")
 
 
 def heldout_disjoint(split: DataFrame) -> DataFrame:
@@ -43,29 +51,31 @@ def byte_budget(parts: DataFrame, most: int, group: str = "language", source_ord
     """Paragraphs kept under a byte budget per group: (group, ord, key, idx, text, bytes).
 
     Sources are taken in order; a source ends at its first paragraph that would overflow, later ones go on with
-    what is left, and all stop once the budget is full. Only lengths are looked at one by one, in sorted
-    streams per group; texts stay where they are until the kept ones are joined back."""
-    sizes = parts.select(group, source_order, "idx", "bytes")
-    placed = sizes.repartition(group).sortWithinPartitions(group, source_order, "idx")
-    keep = placed.mapInPandas(_spend(most, group, source_order), placed.schema)
-    return parts.join(keep.drop("bytes"), [group, source_order, "idx"], "left_semi")
+    what is left, and all stop once the budget is full. A source's paragraphs are summed where they stand; only its
+    running sums, up to the budget, pass one by one through a stream per group, and the kept ones are joined back."""
+    running = F.sum("bytes").over(Window.partitionBy(group, source_order).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
+    sums = parts.select(group, source_order, "idx", "bytes").withColumn("upto", running).where(F.col("upto") <= most)
+    sources = sums.groupBy(group, source_order).agg(F.array_sort(F.collect_set("upto")).alias("upto"))
+    placed = sources.repartition(group).sortWithinPartitions(group, source_order)
+    kinds = dict(parts.dtypes)
+    room = placed.mapInPandas(_spend(most, group, source_order), f"`{group}` {kinds[group]}, `{source_order}` {kinds[source_order]}, room long")
+    keep = sums.join(room, [group, source_order]).where("upto <= room").select(group, source_order, "idx")
+    return parts.join(keep, [group, source_order, "idx"], "left_semi")
 
 
 def _spend(most: int, group: str, order: str):
+    """What is left for each source, or -1 once the budget is full."""
+
     def spend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, source, used, stopped = object(), object(), 0, False
+        current, used = object(), 0
         for b in batches:
-            keep = []
-            for g, o, size in zip(b[group], b[order], b["bytes"]):
+            room = []
+            for g, upto in zip(b[group], b["upto"]):
                 if g != current:
-                    current, source, used = g, object(), 0
-                if o != source:
-                    source, stopped = o, used >= most
-                if not stopped and used + size > most:
-                    stopped = True
-                keep.append(not stopped)
-                used += 0 if stopped else int(size)
-            yield b[keep]
+                    current, used = g, 0
+                room.append(most - used if used < most else -1)
+                used += int(upto[np.searchsorted(upto, room[-1], side="right") - 1]) if len(upto) and upto[0] <= room[-1] else 0
+            yield b[[group, order]].assign(room=room)
 
     return spend
 
@@ -78,32 +88,33 @@ def load_order(rows: DataFrame, seed: int | None = None, start: int = 0, limit:
     if start < 0 or (limit is not None and limit < 0):
         raise ValueError("start and limit must be non-negative")
     key = free(rows, "_k")
-    keys = ["pos"] if seed is None else [key, "pos"]
     keyed = rows if seed is None else rows.withColumn(key, F.xxhash64(F.lit(seed), F.col("id")))
-    schema_cols = rows.columns
-    ordered = keyed.orderBy(*keys)
-    numbered = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(keyed.schema.add("ord", "long", False)).select(*schema_cols, "ord")
+    numbered = with_positions(keyed.withColumnRenamed("pos", "_pos"), *(["_pos"] if seed is None else [key, "_pos"]))
+    numbered = numbered.withColumnRenamed("pos", "ord").withColumnRenamed("_pos", "pos").select(*rows.columns, "ord")
     end = F.lit(True) if limit is None else F.col("ord") < start + limit
     return numbered.where((F.col("ord") >= start) & end)
 
 
-def buffer_order(n: int, seed: int, capacity: int) -> list[int]:
-    """Places 0 .. n-1 as a bounded buffer with a seeded generator emits them.
+def emitted(n: int, seed: int, capacity: int) -> Iterator[int]:
+    """Places 0 .. n-1 as a bounded buffer with a seeded generator emits them; ``capacity`` numbers are held at once.
 
     A full buffer gives up a random slot for each newcomer; at the end the rest leaves in random order."""
     draw = random.Random(seed).randrange
     held = list(range(min(capacity, n)))
-    out = []
     for newcomer in range(len(held), n):
         slot = draw(capacity)
-        out.append(held[slot])
+        yield held[slot]
         held[slot] = newcomer
     while held:
         slot = draw(len(held))
         held[slot], last = held[-1], held[slot]
         held.pop()
-        out.append(last)
-    return out
+        yield last
+
+
+def buffer_order(n: int, seed: int, capacity: int) -> list[int]:
+    """All places that ``emitted`` gives, at once."""
+    return list(emitted(n, seed, capacity))
 
 
 def buffered_load_order(rows: DataFrame, seed: int | None, capacity: int, start: int = 0) -> DataFrame:
@@ -117,9 +128,10 @@ def buffered_load_order(rows: DataFrame, seed: int | None, capacity: int, start:
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for n in b["n"]:
-                order = buffer_order(int(n), seed, capacity)
-                for at in range(0, len(order), 100_000):
-                    yield pd.DataFrame({"pos": order[at : at + 100_000], "ord": range(at, min(at + 100_000, len(order)))})
+                order, at = emitted(int(n), seed, capacity), 0
+                while part := list(islice(order, 100_000)):
+                    yield pd.DataFrame({"pos": part, "ord": range(at, at + len(part))})
+                    at += len(part)
 
     count = rows.agg(F.count("*").alias("n"))
     return rows.join(count.mapInPandas(places, "pos long, ord long"), "pos").where(F.col("ord") >= start)

@@ -43,6 +43,28 @@ def test_input_texts(spark, tmp_path):
     assert got == list(enumerate(["one", "two", "three", "", "four", "five", ""]))
 
 
+def test_order_over_files_of_unequal_size(spark, tmp_path):
+    a = lines(tmp_path / "a.jsonl", [{"id": f"a{k}", "text": "t", "source": "s"} for k in range(3)])
+    b = lines(tmp_path / "b.jsonl", [{"id": f"b{k}", "text": "t" * 300, "source": "s"} for k in range(4000)])
+    for paths, want in (((a, b), ["a0", "a1", "a2", "b0"]), ((b, a), ["b0", "b1", "b2", "b3"])):
+        got = R.read_records(spark, *paths, ordered=True).orderBy("pos").select("pos", "id").collect()
+        assert [r["pos"] for r in got] == list(range(4003)) and [r["id"] for r in got[:4]] == want
+        assert [r["id"] for r in got if r["id"][0] == "b"] == [f"b{k}" for k in range(4000)]
+
+
+@pytest.mark.parametrize("change, message", [({"id": 7}, "id must be"), ({"text": {"x": 1}}, "text must be"), ({"source": ["s"]}, "source must be"), ({"source": None}, "source must be"), ({"meta": ["k"]}, "meta must be")])
+def test_errors_name_path_and_line(spark, tmp_path, change, message):
+    good = {"id": "x", "text": "t", "source": "s", "meta": {"k": 1}}
+    path = lines(tmp_path / "r.jsonl", [good, "", good | {"id": "y"} | change, good | {"id": "z"} | change])
+    with pytest.raises(ValueError, match=f"r.jsonl:3: {message}"):
+        R.read_records(spark, path)
+    for rows, where in (([good, good | {"id": "y"}, good], "r.jsonl:3: duplicate id"), ([good, "[1]"], "r.jsonl:2: line is not"), ([good, "{"], "r.jsonl:2: line is not")):
+        with pytest.raises(ValueError, match=where):
+            R.read_records(spark, lines(tmp_path / "r.jsonl", rows))
+    with pytest.raises(ValueError, match="t.jsonl:2: text must be"):
+        R.read_input_texts(spark, lines(tmp_path / "t.jsonl", [{"text": ""}, {"text": 5}]))
+
+
 def test_suite_rules(spark, tmp_path):
     good = {"id": "1", "area": "a", "language": "en", "prompt": "p", "answer": "B", "metric": "multiple_choice", "choices": ["A", "B "]}
     assert R.read_suite(spark, lines(tmp_path / "s.jsonl", [good])).count() == 1

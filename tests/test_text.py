@@ -136,3 +136,8 @@ def test_pieces_of_tiny_steps():
     for texts in (["a"], ["ab", ""], ["", "abcd"], ["abcde"], [""], []):
         keys, at = pieces(texts)
         assert [int(b - a) for a, b in zip(at, at[1:])] == [min(len(t), 1) for t in texts] and len(keys) == at[-1]
+
+
+def test_last_number_in_other_digits(spark):
+    rows = spark.createDataFrame([("x ٣", 3.0), ("१२.५ und", 12.5), ("２，０００", 2000.0), ("none", None), (None, None), ("-1,234.5", -1234.5)], "t string, want double")
+    assert all(r["got"] == r["want"] for r in rows.select("want", X.last_number(F.col("t")).alias("got")).collect())
