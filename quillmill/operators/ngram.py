@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.plans.durable import cut
+
 #: Weight ratio between orders, weight of the uniform distribution, and its bits per byte.
 BASE, FLOOR, UNIFORM_BPB = 4.0, 0.1, 8.0
 #: Longest context that fits the packed counts.
@@ -90,7 +92,7 @@ def _held(order: int):
                             context, byte = context[start], byte[start]
                             assert len(context) == firsts
                         packed, times = np.unique((context << 8) | byte, return_counts=True)
-                        yield pd.DataFrame({"language": lang, "have": np.int32(k), "context": packed >> 8, "byte": (packed & 255).astype(np.int32), "n": times})
+                        yield pd.DataFrame({"language": pd.Series([lang if isinstance(lang, str) else None] * len(packed), dtype=object), "have": np.int32(k), "context": packed >> 8, "byte": (packed & 255).astype(np.int32), "n": times})
 
     return held
 
@@ -145,8 +147,9 @@ def evaluate_orders(split: DataFrame, orders: list[int]) -> DataFrame:
     from quillmill.operators.splits import heldout_disjoint
 
     distinct = sorted(set(orders))
-    model = ngram_counts(split.where(~F.col("is_eval")), distinct[-1])
-    held = heldout_disjoint(split)
+    # Every order reads both: training and held-out bytes are counted once.
+    model = cut(ngram_counts(split.where(~F.col("is_eval")), distinct[-1]), "counts")
+    held = cut(heldout_disjoint(split).select("language", "text"), "heldout")
     parts = [bits_per_byte(model, held, k).withColumn("order", F.lit(k)) for k in distinct]
     out = parts[0]
     for p in parts[1:]:

@@ -23,7 +23,7 @@ _SPLIT = """
   SELECT *, size >= 2 AND place > greatest(1, least(size - 1, CAST(floor(size * CAST(0.88 AS DOUBLE)) AS BIGINT))) AS is_eval FROM (
     SELECT doc_id, text, lang, row_number() OVER (PARTITION BY lang, coalesce(source, lang) ORDER BY lpad(CAST(doc_id AS VARCHAR), 12, '0')) AS place,
            count(*) OVER (PARTITION BY lang, coalesce(source, lang)) AS size
-    FROM documents WHERE lang IS NOT NULL)"""
+    FROM documents)"""
 _RATIOS = f"""
   SELECT doc_id, length(text) AS chars,
          length(regexp_replace(text, '[\\p{{L}}\\p{{N}}{_WHITE}]', '', 'g')) AS symbols,
@@ -77,21 +77,90 @@ _CELLS = f"""
   placed AS (SELECT *, CAST(floor(depth * length(filler)) AS BIGINT) AS spot FROM cells)"""
 
 
-def _suite(passed: str) -> str:
+# Answer metrics; the texts compared here need no compatibility composition beyond letter case.
+_FOLD = "replace(lower({t}), 'ß', 'ss')"
+_FORM = _TRIM.replace("{t}", "regexp_replace(" + _FOLD + ", '[" + _WHITE + "!\"#$%&''()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~。、，．！？「」『』（）：；]+', ' ', 'g')")
+_LAST = "TRY_CAST(replace(regexp_extract_all({t}, '[-+]?[0-9][0-9,]*\\.?[0-9]*')[-1], ',', '') AS DOUBLE)"
+_MOCK = "CASE WHEN " + _FLAT.replace("{t}", "prompt") + " = '' THEN '' ELSE '[mock] ' || " + _FLAT.replace("{t}", "prompt") + " END"
+
+
+def _metric(name: str, got: str, want: str) -> str:
+    """Whether a prediction passes; false where either side is null."""
+    of = lambda pattern, t: pattern.replace("{t}", t)
+    choice = f"""CASE WHEN length({of(_TRIM, got)}) = 1 THEN lower({of(_TRIM, got)}) = lower({of(_TRIM, want)})
+        WHEN regexp_extract({got}, '(?i)answer\\s*(?:is|:)?\\s*\\(?([A-Ja-j])\\)?\\b', 1) <> '' THEN lower(regexp_extract({got}, '(?i)answer\\s*(?:is|:)?\\s*\\(?([A-Ja-j])\\)?\\b', 1)) = lower({of(_TRIM, want)})
+        WHEN regexp_extract({got}, '\\(([A-Ja-j])\\)', 1) <> '' THEN lower(regexp_extract({got}, '\\(([A-Ja-j])\\)', 1)) = lower({of(_TRIM, want)}) ELSE false END"""
+    sql = {
+        "exact_match": f"{of(_TRIM, got)} = {of(_TRIM, want)}",
+        "normalized_match": f"{of(_FORM, got)} = {of(_FORM, want)}",
+        "includes": f"{of(_FORM, want)} <> '' AND contains({of(_FORM, got)}, {of(_FORM, want)})",
+        "numeric_match": f"abs({of(_LAST, got)} - {of(_LAST, want)}) <= 1e-9 + 1e-9 * abs({of(_LAST, want)})",
+        "multiple_choice": choice,
+    }[name]
+    return f"coalesce({sql}, false)"
+
+
+_METRICS = ("exact_match", "normalized_match", "includes", "numeric_match", "multiple_choice")
+
+
+def _passed(prediction: str) -> str:
+    return "CASE metric " + " ".join(f"WHEN '{m}' THEN {_metric(m, prediction, 'answer')}" for m in _METRICS) + " END"
+
+
+def _suite(prediction: str) -> str:
     return f"""
     SELECT CASE grouping(area) * 2 + grouping(language) WHEN 3 THEN 'overall' WHEN 1 THEN 'area' ELSE 'language' END AS level, area, language,
-           CAST(coalesce(sum(CASE WHEN {passed} THEN 1 ELSE 0 END), 0) AS BIGINT) AS passed, count(*) AS total
+           CAST(coalesce(sum(CASE WHEN {_passed(prediction)} THEN 1 ELSE 0 END), 0) AS BIGINT) AS passed, count(*) AS total
     FROM (SELECT * REPLACE (coalesce(language, 'none') AS language) FROM {_TASKS}) GROUP BY GROUPING SETS ((), (area), (language))"""
 
 
-_TOKENS = """
-WITH p AS (SELECT id, min(language) AS language, min(domain) AS domain, min(text) AS text FROM probes GROUP BY id),
-t AS (SELECT language, domain, length(text) AS chars, octet_length(encode(text)) AS bytes, unnest([
-        {'tokenizer': 'byte', 'tokens': octet_length(encode(text))}, {'tokenizer': 'char', 'tokens': length(text)},
-        {'tokenizer': 'whitespace', 'tokens': len(list_filter(regexp_split_to_array(text, '[WHITE]+'), lambda w: w <> ''))}], recursive := true) FROM p)
-SELECT tokenizer, CASE grouping(language) * 2 + grouping(domain) WHEN 3 THEN 'overall' WHEN 1 THEN 'language' ELSE 'domain' END AS level, language, domain,
+# Tokens as single characters of a private plane: merges in order of rank are replacements from left to right.
+_TOKEN = 983040
+MERGES = f"merges AS (SELECT list(chr({_TOKEN} + left_id) || chr({_TOKEN} + right_id) || chr({_TOKEN} + new_id) ORDER BY merge_rank) AS merged FROM bpe_merges)"
+
+
+def tokens_of(text: str) -> str:
+    """Number of tokens of a text; a statement that uses it reads ``merges`` too."""
+    signs = f"array_to_string(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: chr({_TOKEN} + CAST(('0x' || x) AS INTEGER))), '')"
+    return f"coalesce(length(list_reduce(list_prepend({signs}, merged), lambda s, m: replace(s, substring(m, 1, 2), substring(m, 3, 1)))), 0)"
+
+
+def _compression(extra: str = "", reads: str = "") -> str:
+    return f"""
+p AS (SELECT id, min(language) AS language, min(domain) AS domain, min(text) AS text FROM probes GROUP BY id),
+t AS (SELECT id, language, domain, length(text) AS chars, octet_length(encode(text)) AS bytes, unnest([
+        {{'tokenizer': 'byte', 'tokens': octet_length(encode(text))}}, {{'tokenizer': 'char', 'tokens': length(text)}}{extra},
+        {{'tokenizer': 'whitespace', 'tokens': len(list_filter(regexp_split_to_array(text, '[{_WHITE}]+'), lambda w: w <> ''))}}], recursive := true) FROM p{reads})
+SELECT tokenizer, CASE WHEN grouping(id) = 0 THEN 'probe' WHEN grouping(language) = 0 THEN 'language' WHEN grouping(domain) = 0 THEN 'domain' ELSE 'overall' END AS level, language, domain, id,
        CAST(coalesce(sum(tokens), 0) AS BIGINT) AS tokens, CAST(coalesce(sum(chars), 0) AS BIGINT) AS chars, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS bytes
-FROM t GROUP BY GROUPING SETS ((tokenizer), (tokenizer, language), (tokenizer, domain))""".replace("[WHITE]", f"[{_WHITE}]")
+FROM t GROUP BY GROUPING SETS ((tokenizer), (tokenizer, language), (tokenizer, domain), (tokenizer, id))"""
+
+
+_CHAT = "'<bos><system>' || area || '<eos><user>' || coalesce(prompt, '') || '<eos><assistant>' || coalesce(answer, '') || '<eos>'"
+
+
+def _similar(unique: str) -> str:
+    """Pairs of the distinct texts of ``unique`` (pos, text) that share 0.8 of their n-grams: ctes up to ``similar``."""
+    return f"""
+        u AS ({unique}),
+        g AS (SELECT pos, len(gs) AS n, unnest(gs) AS gram FROM (SELECT pos, {_GRAMS.replace("{t}", 'text')} AS gs FROM u)),
+        p AS (SELECT x.pos AS a, y.pos AS b, count(*) AS common, any_value(x.n + y.n) AS both_sizes FROM g x JOIN g y ON x.gram = y.gram AND x.pos < y.pos AND least(x.n, y.n) >= 0.8 * greatest(x.n, y.n) - 1e-9 GROUP BY x.pos, y.pos),
+        similar_pairs AS MATERIALIZED (SELECT a, b, common, both_sizes - common AS total FROM p WHERE common / CAST(both_sizes - common AS DOUBLE) >= CAST(0.8 AS DOUBLE))"""
+
+
+# The greedy rule one text at a time: a text goes if an earlier one that it is similar to is still there.
+_GREEDY = """
+        earlier AS MATERIALIZED (SELECT b, list(a) AS before, row_number() OVER (ORDER BY b) AS step FROM similar_pairs GROUP BY b),
+        walk AS (SELECT CAST(0 AS BIGINT) AS step, CAST([] AS BIGINT[]) AS gone UNION ALL
+                 SELECT w.step + 1, CASE WHEN len(list_filter(e.before, lambda x: NOT list_contains(w.gone, x))) > 0 THEN list_append(w.gone, e.b) ELSE w.gone END FROM walk w JOIN earlier e ON e.step = w.step + 1),
+        dropped AS (SELECT unnest(gone) AS pos FROM (SELECT gone FROM walk ORDER BY step DESC LIMIT 1))"""
+_UNIQUE_RECORDS = "SELECT min(pos) AS pos, text FROM records WHERE text IS NOT NULL AND text <> '' GROUP BY text"
+_RULES = {
+    **{f"{c} must be a non-empty string": f"length({c}) > 0" for c in ("id", "area", "language", "prompt")},
+    "metric is unknown": "metric IN (" + ", ".join(f"'{m}'" for m in _METRICS) + ")",
+    "answer must not be blank": f"length({_TRIM.replace('{t}', 'answer')}) > 0",
+    "multiple choice needs choices that hold the answer": f"metric <> 'multiple_choice' OR coalesce(len(choices) > 0 AND list_contains(list_transform(choices, lambda c: {_TRIM.replace('{t}', 'c')}), {_TRIM.replace('{t}', 'answer')}), false)",
+}
 
 SQL: dict[str, str] = {
     "normalize_docs": f"SELECT doc_id, sha1(t) AS text_sha1, length(t) AS chars, {_bytes('t')} AS bytes FROM (SELECT doc_id, {_norm('text')} AS t FROM documents)",
@@ -120,7 +189,23 @@ SQL: dict[str, str] = {
     "heldout_disjoint": f"WITH s AS ({_SPLIT}) SELECT doc_id FROM s WHERE is_eval AND text NOT IN (SELECT text FROM s WHERE NOT is_eval AND text IS NOT NULL)",
     "paragraph_explode": _PARAGRAPHS.replace("{cut}", "\\n[" + _WHITE + "]*\\n"),
     "line_explode": _PARAGRAPHS.replace("{cut}", "\\n+"),
-    "tokenizer_compression": _TOKENS,
+    "tokenizer_compression": "WITH " + _compression(),
+    "tokenizer_compression_bpe": f"WITH {MERGES}, " + _compression(f", {{'tokenizer': 'bpe', 'tokens': {tokens_of('text')}}}", ", merges"),
+    "bpe_token_counts": f"WITH {MERGES} SELECT doc_id, CAST({tokens_of('text')} AS BIGINT) AS tokens FROM documents, merges",
+    "encode_chat": f"WITH {MERGES} SELECT id AS conv_id, CAST({tokens_of(_CHAT)} AS BIGINT) AS tokens FROM {_TASKS}, merges",
+    "metric_matrix": "SELECT id, " + ", ".join(f"CAST({_metric(m, 'other', 'answer')} AS INTEGER) AS {m}" for m in _METRICS) + f" FROM (SELECT id, answer, ' The answer is ' || upper(trim(answer)) || ' !' AS other FROM {_TASKS})",
+    "suite_violations": " UNION ALL ".join(f"SELECT '{name}' AS rule, count(*) FILTER (WHERE NOT coalesce({ok}, false)) AS rows FROM scored_tasks" for name, ok in _RULES.items()),
+    "byte_budget_cap": f"""
+        WITH RECURSIVE paragraphs AS ({_PARAGRAPHS.replace("{cut}", "\\n[" + _WHITE + "]*\\n")}),
+        placed AS (SELECT coalesce(lang, 'none') AS language, doc_id AS ord, idx, bytes, sum(bytes) OVER (PARTITION BY doc_id ORDER BY idx) AS upto FROM paragraphs JOIN documents ON CAST(doc_id AS VARCHAR) = key),
+        sources AS (SELECT language, ord, list(upto) AS sums, row_number() OVER (PARTITION BY language ORDER BY ord) AS step FROM placed GROUP BY language, ord),
+        walk AS (SELECT DISTINCT language, CAST(0 AS BIGINT) AS step, CAST(NULL AS BIGINT) AS ord, CAST(0 AS BIGINT) AS room, CAST(0 AS BIGINT) AS used FROM sources UNION ALL
+                 SELECT s.language, s.step, s.ord, 60000 - w.used, CAST(w.used + coalesce(list_max(list_filter(s.sums, lambda x: x <= 60000 - w.used)), 0) AS BIGINT) FROM walk w JOIN sources s ON s.language = w.language AND s.step = w.step + 1)
+        SELECT p.language, p.ord, p.idx, p.bytes FROM placed p JOIN walk w ON w.language = p.language AND w.ord = p.ord WHERE w.room > 0 AND p.upto <= w.room""",
+    "near_dup_kept": f"""WITH RECURSIVE {_similar("SELECT min(doc_id) AS pos, text FROM documents WHERE text IS NOT NULL AND text <> '' GROUP BY text")}, {_GREEDY}
+        SELECT min(doc_id) AS doc_id FROM documents GROUP BY text HAVING min(doc_id) NOT IN (SELECT pos FROM dropped)""",
+    "near_dup_kept_records": f"""WITH RECURSIVE {_similar(_UNIQUE_RECORDS)}, {_GREEDY}
+        SELECT id, pos FROM records WHERE pos IN (SELECT min(pos) FROM records GROUP BY text) AND pos NOT IN (SELECT pos FROM dropped)""",
     "probe_summary": """SELECT language, domain, grouping(language) * 2 + grouping(domain) AS level, count(*) AS probes, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars, CAST(coalesce(sum(octet_length(encode(text))), 0) AS BIGINT) AS bytes
         FROM probes GROUP BY GROUPING SETS ((), (language), (domain))""",
     "ngram_counts": f"""
@@ -128,11 +213,11 @@ SQL: dict[str, str] = {
         SELECT CAST(k AS BIGINT) AS k, CASE WHEN k = 0 THEN 0 ELSE CAST(('0x' || ctx) AS BIGINT) END AS context, CAST(('0x' || b) AS BIGINT) AS byte, n FROM (
           SELECT 0 AS k, '' AS ctx, b, count(*) AS n FROM p GROUP BY ALL UNION ALL SELECT 1, b1, b, count(*) FROM p WHERE i >= 1 GROUP BY ALL UNION ALL SELECT 2, b2 || b1, b, count(*) FROM p WHERE i >= 2 GROUP BY ALL)""",
     "ngram_bpb": _BPB,
-    "scored_suite_gold": _suite("true"),
-    "scored_suite_empty": _suite("false"),
-    "suite_failures": f"""SELECT id FROM {_TASKS} WHERE NOT CASE metric
-        WHEN 'exact_match' THEN {_TRIM.replace("{t}", 'prompt')} = {_TRIM.replace("{t}", 'answer')}
-        ELSE false END AND metric = 'exact_match' UNION ALL SELECT id FROM {_TASKS} WHERE metric <> 'exact_match'""",
+    "scored_suite_gold": _suite("answer"),
+    "scored_suite_empty": _suite("''"),
+    "scored_suite_echo": _suite("prompt"),
+    "scored_suite_mock": _suite(f"({_MOCK})"),
+    "suite_failures": f"SELECT id FROM {_TASKS} WHERE NOT {_passed('prompt')}",
     "niah_tasks": f"""WITH {_CELLS} SELECT 'niah-L' || length || '-D' || depth AS id, answer,
         sha1(substring(filler, 1, spot) || ' Note: the secret ' || key || ' is ' || answer || '. ' || substring(filler, spot + 1) || chr(10) || chr(10) || 'What is the secret ' || key || '? Answer with the value only.') AS prompt_sha1,
         CAST(length AS BIGINT) AS length, depth, spot + 1 AS needle_pos FROM placed""",
@@ -151,7 +236,7 @@ SQL: dict[str, str] = {
         VALUES ('bpe-512', 512, 1.3611::DOUBLE), ('bpe-1024', 1024, 1.0598), ('bpe-2048', 2048, 0.8653), ('bpe-4096', 4096, 0.7165), ('bpe-8192', 8192, 0.6152)) AS p(name, v, ja))
         SELECT prev AS name, true AS cost_knee_reached FROM g WHERE (before - ja) / before < 0.18 ORDER BY v LIMIT 1""",
     "load_order": "SELECT doc_id, ord FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ord FROM documents) WHERE ord >= 25 AND ord < 125",
-    "record_json": "SELECT pos, meta['license'] AS license FROM records",
+    "record_json": "SELECT pos, id, sha1(text) AS text_sha1, source, meta['license'] AS license, meta['batch'] AS batch, meta['domain'] AS domain, meta['language'] AS language FROM records",
     "meta_update": "SELECT pos, 'b0' AS batch, split_name AS checked, meta['license'] AS license FROM records",
     "source_manifest_checks": """SELECT DISTINCT source, title, coalesce(regexp_matches(snapshot_date, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$'), false) AS date_ok, coalesce(regexp_matches(language, '^[a-z]{2,3}(-[A-Z]{2})?$'), false) AS language_ok,
         length(coalesce(license_name, '')) > 0 AS license_ok FROM (SELECT DISTINCT * FROM dataset_sources)""",
@@ -160,10 +245,6 @@ SQL: dict[str, str] = {
         n AS (SELECT d.doc_id, documents.source, d.t FROM docs d JOIN documents USING (doc_id) WHERE d.t <> ''),
         kept AS (SELECT * FROM n WHERE doc_id IN (SELECT min(doc_id) FROM n GROUP BY t) AND length(t) >= 3 AND doc_id IN (SELECT doc_id FROM flags WHERE NOT bad))
         SELECT source, count(*) AS records, CAST(coalesce(sum(length(t)), 0) AS BIGINT) AS chars, CAST(coalesce(sum({_bytes('t')}), 0) AS BIGINT) AS bytes, grouping(source) = 1 AS total FROM kept GROUP BY ROLLUP (source)""",
-    "stream_clean": f"SELECT DISTINCT sha1(t) AS text_sha1 FROM (SELECT {_norm('text')} AS t FROM records) WHERE length(t) >= 200",
-    "near_dup_pairs": f"""
-        WITH u AS (SELECT min(pos) AS pos, text FROM records WHERE text IS NOT NULL AND text <> '' GROUP BY text),
-        g AS (SELECT pos, len(gs) AS n, unnest(gs) AS gram FROM (SELECT pos, {_GRAMS.replace("{t}", 'text')} AS gs FROM u)),
-        p AS (SELECT x.pos AS a, y.pos AS b, count(*) AS common, any_value(x.n + y.n) AS both_sizes FROM g x JOIN g y ON x.gram = y.gram AND x.pos < y.pos AND least(x.n, y.n) >= 0.8 * greatest(x.n, y.n) - 1e-9 GROUP BY x.pos, y.pos)
-        SELECT a, b, common, both_sizes - common AS total FROM p WHERE common / CAST(both_sizes - common AS DOUBLE) >= CAST(0.8 AS DOUBLE)""",
+    "stream_clean": f"SELECT sha1(t) AS text_sha1, CAST(1 AS BIGINT) AS rows FROM (SELECT DISTINCT {_norm('text')} AS t FROM records) WHERE length(t) >= 200",
+    "near_dup_pairs": f"WITH {_similar(_UNIQUE_RECORDS)} SELECT a, b, common, total FROM similar_pairs",
 }

@@ -80,7 +80,7 @@ def near_dup_kept(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def near_dup_kept_records(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "records").where("text is not null")
+    rows = table(spark, folder, "records")
     return dedup.near_dedup(rows, 0.8, 5).select("id", "pos")
 
 
@@ -120,12 +120,12 @@ def benchmark_index(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def train_eval_split(spark: SparkSession, folder: str) -> DataFrame:
-    d = documents(spark, folder).withColumn("id", F.lpad("id", 12, "0")).where("language is not null")
+    d = documents(spark, folder).withColumn("id", F.lpad("id", 12, "0"))
     return splits.tail_split(d).select(F.col("pos").alias("doc_id"), "is_eval")
 
 
 def heldout_disjoint(spark: SparkSession, folder: str) -> DataFrame:
-    d = documents(spark, folder).withColumn("id", F.lpad("id", 12, "0")).where("language is not null")
+    d = documents(spark, folder).withColumn("id", F.lpad("id", 12, "0"))
     return splits.heldout_disjoint(splits.tail_split(d)).select(F.col("pos").alias("doc_id"))
 
 
@@ -140,20 +140,20 @@ def line_explode(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def byte_budget_cap(spark: SparkSession, folder: str) -> DataFrame:
-    d = documents(spark, folder).where("language is not null")
+    d = documents(spark, folder).withColumn("language", F.coalesce("language", F.lit("none")))
     rows = splits.paragraph_rows(d.withColumnRenamed("id", "key")).join(d.select(F.col("id").alias("key"), "language", F.col("pos").alias("ord")), "key")
     return splits.byte_budget(rows, 60_000).select("language", "ord", "idx", "bytes")
 
 
 def tokenizer_compression(spark: SparkSession, folder: str) -> DataFrame:
     probes = table(spark, folder, "probes").groupBy("id").agg(F.min("language").alias("language"), F.min("domain").alias("domain"), F.min("text").alias("text"))
-    return tokenizer.score(probes).where("level <> 'probe'").drop("id")
+    return tokenizer.score(probes)
 
 
 def tokenizer_compression_bpe(spark: SparkSession, folder: str) -> DataFrame:
     model = tokenizer.model_from_table(table(spark, folder, "bpe_merges"))
     probes = table(spark, folder, "probes").groupBy("id").agg(F.min("language").alias("language"), F.min("domain").alias("domain"), F.min("text").alias("text"))
-    return tokenizer.score(probes, tokenizer.TOKENIZERS | {"bpe": tokenizer.token_count(model)}).where("level <> 'probe'").drop("id")
+    return tokenizer.score(probes, tokenizer.TOKENIZERS | {"bpe": tokenizer.token_count(model)})
 
 
 def probe_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -166,7 +166,7 @@ def ngram_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ngram_bpb(spark: SparkSession, folder: str) -> DataFrame:
-    d = documents(spark, folder).withColumn("id", F.lpad("id", 12, "0")).where("language is not null")
+    d = documents(spark, folder).withColumn("id", F.lpad("id", 12, "0"))
     split = cut(splits.tail_split(d).select("text", "language", "is_eval"), "split")
     results = ngram.evaluate_orders(split, [0, 1, 2])
     return results.select(F.col("order").cast("long").alias("model_order"), "language", "total", "bytes", F.round(F.col("bits") / F.col("bytes"), 4).alias("bpb"))
@@ -300,8 +300,10 @@ def load_order_buffered(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def record_json(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "records")
-    return rows.select("pos", F.get_json_object(X.record_json(F.col("id"), F.col("text"), F.col("source"), F.col("meta")), "$.meta.license").alias("license"))
+    """Records written as JSON and read back."""
+    rows = table(spark, folder, "records").select("pos", X.record_json(F.col("id"), F.col("text"), F.col("source"), F.col("meta")).alias("line"))
+    back = rows.select("pos", F.from_json("line", R.RECORD).alias("r")).select("pos", "r.*")
+    return back.select("pos", "id", X.content_hash(F.col("text")).alias("text_sha1"), "source", *[F.col("meta")[k].alias(k) for k in ("license", "batch", "domain", "language")])
 
 
 def meta_update(spark: SparkSession, folder: str) -> DataFrame:
@@ -347,7 +349,7 @@ def stream_clean(spark: SparkSession, folder: str) -> DataFrame:
     schema = table(spark, folder, "records").schema
     stream = S.clean_stream(S.read_stream(spark, f"{folder}/records.parq*et", schema), ingest.QualityLimits(min_chars=200))
     S.run_available(stream.select("id", "pos", X.content_hash(F.col("text")).alias("text_sha1")), f"{base}/out", f"{base}/state").awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("text_sha1").distinct()
+    return spark.read.parquet(f"{base}/out").groupBy("text_sha1").agg(F.count("*").alias("rows"))
 
 
 def queries() -> dict[str, Query]:
