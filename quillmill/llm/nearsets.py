@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions.shingles import pieces, steps
-from quillmill.llm.pairs import within_groups
+from quillmill.llm.pairs import GROUP_SLICE, within_groups
 from quillmill.llm.textsets import SKETCH_WORDS, Texts, distinct_texts, plausible_pairs, ring, verified
 from quillmill.plans.durable import cut
 
@@ -204,12 +204,21 @@ def links(forms: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def expand(found: DataFrame, texts: Texts) -> DataFrame:
-    """Pairs of ids from pairs of docs, and of the ids that share a doc: (id_a, id_b)."""
+    """Pairs of ids from pairs of docs, and of the ids that share a doc: (id_a, id_b).
+
+    A doc of many ids is joined in slices, so a text that a third of the rows repeat fills no single task."""
     members = texts.members.select("id", "doc")
-    left = found.select("a", "b").join(members.select(F.col("doc").alias("a"), F.col("id").alias("x")), "a")
-    both = left.join(members.select(F.col("doc").alias("b"), F.col("id").alias("y")), "b")
-    pairs = both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     sizes = members.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1")
+    slices = sizes.where(F.col("n") > GROUP_SLICE).select("doc", F.ceil(F.col("n") / GROUP_SLICE).cast("int").alias("slices"))
+    sliced = lambda rows, key: rows.join(slices.withColumnRenamed("doc", key), key, "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    salted = sliced(members, "doc").select("id", "doc", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("salt"))
+
+    def with_ids(rows: DataFrame, key: str, name: str) -> DataFrame:
+        each = sliced(rows, key).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+        return each.join(salted.withColumnsRenamed({"doc": key, "id": name}), [key, "salt"]).drop("salt")
+
+    both = with_ids(with_ids(found.select("a", "b"), "a", "x"), "b", "y")
+    pairs = both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     return pairs.unionByName(within_groups(members.join(sizes, "doc"), ["doc"], "n").select("id_a", "id_b"))
 
 
@@ -233,7 +242,8 @@ def near_classes(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def connected(found: DataFrame, rounds: int = 40) -> DataFrame:
     """(doc, group_id) of the linked docs: the smallest doc of each connected component.
 
-    Alternates large-star and small-star steps; the edges of each round are a written table."""
+    Alternates large-star and small-star steps; the edges of each round are a written table. Raises where ``rounds``
+    steps don't suffice, rather than return groups that would still grow."""
     edges = found.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v")
     state = None
     for _ in range(rounds):
@@ -248,5 +258,7 @@ def connected(found: DataFrame, rounds: int = 40) -> DataFrame:
         if state == (now["n"], now["s"]):
             break
         state = (now["n"], now["s"])
+    else:
+        raise RuntimeError(f"groups are still growing together after {rounds} rounds")
     own = edges.select(F.col("v").alias("doc"), F.col("v").alias("group_id"))
     return edges.select(F.col("u").alias("doc"), F.col("v").alias("group_id")).unionByName(own).distinct()
