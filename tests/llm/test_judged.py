@@ -180,7 +180,7 @@ def test_automaton_against_brute_force(rng):
     for width in (1, 3, 7):
         words = ["".join(rng.choice("abcé猫") for _ in range(width)) for _ in range(40)]
         text = "".join(rng.choice("abcé猫") for _ in range(3000))
-        machine = Automaton(np.array([[ord(c) for c in w] for w in words], np.uint32))
+        machine = Automaton(np.array([ord(c) for w in words for c in w], np.uint32), np.arange(len(words)) * width, width)
         code = {int(k): w for k, w in zip(machine.code, words)}
         points = np.array([ord(c) for c in text], np.uint32)
         points[1500] = BETWEEN
