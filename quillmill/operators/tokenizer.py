@@ -12,9 +12,12 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
 
 from quillmill.functions import text as X
 from quillmill.functions.bpe import SPECIAL_TOKENS, BpeModel
+from quillmill.functions.shingles import steps
 
 #: Bytes of distinct texts that the driver trainer may hold.
 MOST_TRAINING_BYTES = 256 << 20
+#: Token ids that one step of a pair count holds, and distinct pairs that a task adds up before it gives them.
+STEP_IDS, MOST_PAIRS = 500_000, 1_000_000
 Tokenizer = Callable[[Column], Column]
 #: Reference tokenizers by name: a text column to its number of tokens. Callers may add their own.
 TOKENIZERS: dict[str, Tokenizer] = {"byte": X.utf8_bytes, "char": X.characters, "whitespace": X.whitespace_tokens}
@@ -59,20 +62,54 @@ def decode(model: BpeModel) -> Tokenizer:
     return F.pandas_udf(apply, StringType())
 
 
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, with the sum of its numbers."""
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.nonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))[0]
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _adjacent(found: Iterator[tuple[list, np.ndarray]]) -> Iterator[pd.DataFrame]:
+    """Counts of the adjacent pairs in sequences of ids with weights, a step at a time; added up before they are given."""
+    total = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rows = lambda: pd.DataFrame({"left_id": (total[0] >> 32).astype(np.int32), "right_id": (total[0] & 0xFFFFFFFF).astype(np.int32), "n": total[1]})
+    for seqs, weights in found:
+        for lo, hi in steps(seqs, STEP_IDS):
+            n = np.fromiter(map(len, seqs[lo:hi]), np.int64, hi - lo)
+            ids = np.concatenate([np.asarray(s, np.int64) for s in seqs[lo:hi]])
+            inside = np.ones(len(ids), bool)
+            inside[(np.cumsum(n) - 1)[n > 0]] = False
+            at = np.nonzero(inside)[0]
+            more = _summed((ids[at] << 32) | ids[at + 1], np.repeat(weights[lo:hi], np.maximum(n - 1, 0)))
+            total = _summed(np.concatenate([total[0], more[0]]), np.concatenate([total[1], more[1]]))
+            if len(total[0]) > MOST_PAIRS:
+                yield rows()
+                total = total[0][:0], total[1][:0]
+    yield rows()
+
+
+PAIRS = "left_id int, right_id int, n long"
+
+
 def pair_counts(tokens: DataFrame, ids: str = "ids", weight: str | None = None) -> DataFrame:
     """(left_id, right_id, n): adjacent pairs of token ids; overlapping occurrences all count."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            seqs = [np.asarray(s, np.int64) for s in b["ids"]]
-            left = np.concatenate([s[:-1] for s in seqs]) if seqs else np.zeros(0, np.int64)
-            right = np.concatenate([s[1:] for s in seqs]) if seqs else np.zeros(0, np.int64)
-            w = np.repeat(b["w"].to_numpy(), [max(len(s) - 1, 0) for s in seqs]) if seqs else np.zeros(0)
-            packed, where = np.unique((left << 32) | right, return_inverse=True)
-            yield pd.DataFrame({"left_id": (packed >> 32).astype(np.int32), "right_id": (packed & 0xFFFFFFFF).astype(np.int32), "n": np.bincount(where, w, len(packed)).astype(np.int64)})
+        yield from _adjacent((list(b["ids"]), b["w"].to_numpy(np.int64)) for b in batches)
 
     rows = tokens.where(F.col(ids).isNotNull()).select(F.col(ids).alias("ids"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("w"))
-    return rows.mapInPandas(count, "left_id int, right_id int, n long").groupBy("left_id", "right_id").agg(F.sum("n").alias("n"))
+    return rows.mapInPandas(count, PAIRS).groupBy("left_id", "right_id").agg(F.sum("n").alias("n"))
+
+
+def text_pair_counts(texts: DataFrame, model: BpeModel) -> DataFrame:
+    """``pair_counts`` of the tokens of ``text``, which no table holds."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = (list(b["text"]) for b in batches)
+        yield from _adjacent((model.encode_batch(t[lo:hi]), np.ones(hi - lo, np.int64)) for t in held for lo, hi in steps(t))
+
+    return texts.where(F.col("text").isNotNull()).select("text").mapInPandas(count, PAIRS).groupBy("left_id", "right_id").agg(F.sum("n").alias("n"))
 
 
 def top_pair(pairs: DataFrame) -> DataFrame:

@@ -244,9 +244,8 @@ def bpe_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bpe_pair_counts(spark: SparkSession, folder: str) -> DataFrame:
-    model = tokenizer.BpeModel([])
-    tokens = documents(spark, folder).select(tokenizer.encode(model)(F.col("text")).alias("ids"))
-    return tokenizer.pair_counts(tokens).select(F.col("left_id").cast("long").alias("left_id"), F.col("right_id").cast("long").alias("right_id"), "n")
+    counts = tokenizer.text_pair_counts(documents(spark, folder), tokenizer.BpeModel([]))
+    return counts.select(F.col("left_id").cast("long").alias("left_id"), F.col("right_id").cast("long").alias("right_id"), "n")
 
 
 def bpe_pair_top(spark: SparkSession, folder: str) -> DataFrame:
