@@ -55,3 +55,10 @@ def test_pair_counts_in_steps(spark, monkeypatch):
         for r in part.itertuples():
             total[r.left_id, r.right_id] += r.n
     assert len(parts) > 2 and total == brute_pairs(texts[:40] * 2 + texts[40:])
+
+
+def test_top_pair_of_texts(spark):
+    """The pair that most texts have, found without a table of all ids."""
+    texts = spark.createDataFrame([("ba ba",), ("abab",), (None,)], "text string")
+    best = tokenizer.top_pair(tokenizer.text_pair_counts(texts, BpeModel([])))
+    assert [tuple(r) for r in best.collect()] == [(98, 97, 3)]
