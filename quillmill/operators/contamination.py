@@ -2,7 +2,8 @@
 
 Similarity is Jaccard on whole n-gram sets; the decision is made on the score rounded to four places, so that flag
 and reported score always agree. Benchmark sets up to ``MOST_GRAMS`` n-grams go to the workers as sorted arrays and
-each batch of documents meets them in one vectorised pass; a larger set is joined by n-gram instead."""
+each batch of documents meets them in one vectorised pass. A larger set is written in shards, which each task joins with
+its documents one after another: n-grams of documents are never rows, and no shuffle has them."""
 
 from __future__ import annotations
 
@@ -14,10 +15,13 @@ from pyspark.sql import types as T
 
 from quillmill.functions.names import free
 from quillmill.functions.shingles import HASH_MASK, pieces, steps
-from quillmill.functions.text import char_ngrams, content_hash, normalize_text, round4
+from quillmill.functions.text import normalize_text
+from quillmill.plans.durable import cut_parts, read_part
 
 #: Largest benchmark set, in n-grams, that is handed to every worker.
 MOST_GRAMS = 20_000_000
+#: n-grams of a shard of a larger set, and common n-grams of documents and benchmark texts that one step holds.
+SHARD_GRAMS, STEP_COMMON = 4_000_000, 1_000_000
 _SCORED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("same", T.BooleanType())])
 
 
@@ -57,69 +61,88 @@ class _Profiles:
         hit = self.gram[spot] == gram
         doc, spot = np.repeat(np.arange(len(texts)), size)[hit], spot[hit]
         many = self.first[spot + 1] - self.first[spot]
-        at_owner = np.repeat(self.first[spot], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        pair = np.repeat(doc, many) * len(self.sizes) + self.owner[at_owner]
-        pair, common = np.unique(pair, return_counts=True)
-        doc, bench = pair // len(self.sizes), pair % len(self.sizes)
-        np.maximum.at(out, doc, common / (size[doc] + self.sizes[bench] - common))
+        # Steps end between texts; a text that is more than a step is counted in parts.
+        begin = np.nonzero(np.concatenate([np.ones(min(1, len(doc)), bool), doc[1:] != doc[:-1]]))[0]
+        step = (np.cumsum(np.add.reduceat(many, begin)) - 1) // STEP_COMMON if len(begin) else begin
+        cuts = [*begin[np.nonzero(np.concatenate([np.ones(min(1, len(step)), bool), step[1:] != step[:-1]]))[0]], len(doc)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if many[lo:hi].sum() > STEP_COMMON:
+                for d in np.unique(doc[lo:hi]):
+                    self._one(d, spot[lo:hi][doc[lo:hi] == d], size, out)
+                continue
+            pair = np.repeat(doc[lo:hi], many[lo:hi]) * len(self.sizes) + self._owners(spot[lo:hi])
+            pair, common = np.unique(pair, return_counts=True)
+            d, bench = pair // len(self.sizes), pair % len(self.sizes)
+            np.maximum.at(out, d, common / (size[d] + self.sizes[bench] - common))
         return out
 
+    def _owners(self, spot: np.ndarray) -> np.ndarray:
+        many = self.first[spot + 1] - self.first[spot]
+        return self.owner[np.repeat(self.first[spot], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)]
+
+    def _one(self, doc: int, spot: np.ndarray, size: np.ndarray, out: np.ndarray) -> None:
+        common = np.zeros(len(self.sizes), np.int64)
+        part = np.cumsum(self.first[spot + 1] - self.first[spot]) // STEP_COMMON
+        for k in np.unique(part):
+            common += np.bincount(self._owners(spot[part == k]), minlength=len(common))
+        out[doc] = (common / np.maximum(size[doc] + self.sizes - common, 1)).max()
+
+
+#: The shard that this worker built last, by path, number and n.
+_BUILT: dict[tuple[str, int, int], _Profiles] = {}
+
+
+def _sharded(path: str, shards: int, n: int):
+    """Profiles of a written set one after another, the one that is still there first."""
+
+    def profiles():
+        for number in sorted(range(shards), key=lambda k: (path, k, n) not in _BUILT):
+            if (path, number, n) not in _BUILT:
+                _BUILT.clear()
+                _BUILT[path, number, n] = _Profiles(list(read_part(path, "shard", number, ["text"])["text"]), n)
+            yield _BUILT[path, number, n]
 
-def _scorer(handed, n: int):
-    """A column function: highest share (rounded) and equality of a normalised text with the benchmark texts."""
+    return profiles
+
+
+def _scorer(held, n: int):
+    """A column function: highest share (rounded) and equality of a normalised text with the benchmark texts; ``held``
+    gives their profiles."""
 
     def score(s: pd.Series) -> pd.DataFrame:
-        profiles = handed.value
         texts = [t or "" for t in s]
-        best = np.zeros(len(texts))
-        for lo, hi in steps(texts):
-            best[lo:hi] = profiles.best(texts[lo:hi], n)
-        same = [t in profiles.texts for t in texts]
+        best, same = np.zeros(len(texts)), np.zeros(len(texts), bool)
+        for profiles in held():
+            for lo, hi in steps(texts):
+                best[lo:hi] = np.maximum(best[lo:hi], profiles.best(texts[lo:hi], n))
+            same |= np.fromiter((t in profiles.texts for t in texts), bool, len(texts))
         return pd.DataFrame({"score": [1.0 if e else round(float(x), 4) for x, e in zip(best, same)], "same": same})
 
     return F.pandas_udf(score, _SCORED)
 
 
-def _joined_scores(texts: DataFrame, profiles: DataFrame, n: int) -> DataFrame:
-    """The plan for large benchmark sets: n-grams meet in a join and are counted per pair."""
-    def hashed(t: DataFrame, key: str) -> DataFrame:
-        grams = t.select(key, char_ngrams(F.col("text"), n).alias("grams"))
-        return grams.select(key, F.size("grams").alias("size"), F.explode("grams").alias("gram"))
-
-    docs = hashed(texts.select("key", F.col("norm").alias("text")), "key").withColumnRenamed("size", "doc_size")
-    bench = hashed(profiles.select(F.sha1("text").alias("bench"), "text"), "bench").withColumnRenamed("size", "bench_size")
-    pairs = docs.join(bench, "gram").groupBy("key", "bench").agg(F.count("*").alias("common"), F.first("doc_size").alias("doc_size"), F.first("bench_size").alias("bench_size"))
-    share = F.col("common") / (F.col("doc_size") + F.col("bench_size") - F.col("common")).cast("double")
-    best = pairs.groupBy("key").agg(F.max(share).alias("score"))
-    return texts.select("key").join(best, "key", "left").select("key", round4(F.coalesce("score", F.lit(0.0))).alias("score"))
-
-
 def flag_contaminated(records: DataFrame, benchmarks: DataFrame, key: str = "id", threshold: float = 0.8, n: int = 5, joined: bool | None = None) -> DataFrame:
     """``records`` with ``contaminated`` and ``contamination_score`` (rounded; 1.0 for an exact match).
 
-    For large benchmark sets ``key`` must be unique. Without benchmark texts nothing is flagged and every score is 0. A null text counts as
-    empty. ``joined`` forces (or forbids) the plan for large benchmark sets."""
+    Without benchmark texts nothing is flagged and every score is 0. A null text counts as empty. ``joined`` forces (or
+    forbids) the plan for large benchmark sets."""
     profiles = benchmark_profiles(benchmarks)
-    texts = records.select(F.col(key).alias("key"), normalize_text(F.coalesce("text", F.lit(""))).alias("norm"))
     grams = profiles.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     if grams == 0:
         return records.withColumns({"contaminated": F.lit(False), "contamination_score": F.lit(0.0)})
     if joined is None:
         joined = grams > MOST_GRAMS
-    if not joined:
-        held = _Profiles([r["text"] for r in profiles.orderBy("text").collect()], n)
-        handed = records.sparkSession.sparkContext.broadcast(held)
-        name = free(records, "_found")
-        scored = records.withColumn(name, _scorer(handed, n)(normalize_text(F.coalesce("text", F.lit("")))))
-        flagged = F.col(f"{name}.same") | (F.col(f"{name}.score") >= threshold)
-        return scored.withColumns({"contaminated": flagged, "contamination_score": F.col(f"{name}.score")}).drop(name)
-    scores = _joined_scores(texts, profiles, n)
-    equal = texts.where("norm <> ''").withColumn("_h", content_hash(F.col("norm"))).join(profiles.select(content_hash(F.col("text")).alias("_h")), "_h", "left_semi").select("key", F.lit(True).alias("same"))
-    same, score_name = free(records, "_same"), free(records, "_score")
-    found = scores.join(equal, "key", "left").select(F.col("key").alias(key), F.coalesce("same", F.lit(False)).alias(same), F.col("score").alias(score_name))
-    score = F.when(F.col(same), F.lit(1.0)).otherwise(F.col(score_name))
-    # The score never changes the number of rows: a left join on a unique key.
-    return records.join(found, key, "left").withColumns({"contaminated": F.col(same) | (F.col(score_name) >= threshold), "contamination_score": score}).drop(same, score_name)
+    if joined:
+        shards = -(-grams // SHARD_GRAMS)
+        numbered = profiles.select("text", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int").alias("shard"))
+        held = _sharded(cut_parts(numbered.repartition(shards, "shard"), "shard", "benchmark"), shards, n)
+    else:
+        handed = records.sparkSession.sparkContext.broadcast(_Profiles([r["text"] for r in profiles.orderBy("text").collect()], n))
+        held = lambda: [handed.value]
+    name = free(records, "_found")
+    scored = records.withColumn(name, _scorer(held, n)(normalize_text(F.coalesce("text", F.lit("")))))
+    flagged = F.col(f"{name}.same") | (F.col(f"{name}.score") >= threshold)
+    return scored.withColumns({"contaminated": flagged, "contamination_score": F.col(f"{name}.score")}).drop(name)
 
 
 def remove_contaminated(records: DataFrame, benchmarks: DataFrame, key: str = "id", threshold: float = 0.8, n: int = 5) -> DataFrame:

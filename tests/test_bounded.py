@@ -9,7 +9,7 @@ import pandas as pd
 
 from quillmill.functions import shingles
 from quillmill.functions.bpe import BpeModel
-from quillmill.operators import tokenizer
+from quillmill.operators import contamination, tokenizer
 
 
 def brute_pairs(texts):
@@ -62,3 +62,34 @@ def test_top_pair_of_texts(spark):
     texts = spark.createDataFrame([("ba ba",), ("abab",), (None,)], "text string")
     best = tokenizer.top_pair(tokenizer.text_pair_counts(texts, BpeModel([])))
     assert [tuple(r) for r in best.collect()] == [(98, 97, 3)]
+
+
+def test_large_benchmark_sets_are_sharded(spark, monkeypatch):
+    """Scores over several shards are those of one set, and no n-gram of a document is a row of the plan."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefg", k=rng.randint(2, 7))) for _ in range(60)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    items = [text(rng.randint(3, 20)) for _ in range(50)]
+    docs = [None, "", *items[:5], *[rng.choice(items) + " " + text(rng.randint(0, 30)) for _ in range(40)]]
+    rows = spark.createDataFrame(list(enumerate(docs)), "id int, text string")
+    bench = spark.createDataFrame([(t,) for t in items], "text string")
+    monkeypatch.setattr(contamination, "SHARD_GRAMS", 1000)
+    one, several = (contamination.flag_contaminated(rows, bench, "id", 0.3, 5, joined) for joined in (False, True))
+    want = {r["id"]: (r["contaminated"], r["contamination_score"]) for r in one.collect()}
+    assert {r["id"]: (r["contaminated"], r["contamination_score"]) for r in several.collect()} == want
+    assert {s for f, s in want.values()} >= {0.0, 1.0} and len({s for _, s in want.values()}) > 10
+    plan = several._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+
+
+def test_common_grams_are_counted_in_steps(monkeypatch):
+    rng = random.Random(6)
+    items = ["the same instruction for all of them " + "".join(rng.choices("abcd", k=9)) for _ in range(90)]
+    docs = [rng.choice(items) + "".join(rng.choices("abcd", k=40)) for _ in range(30)] + ["", "nothing"]
+    held = contamination._Profiles(items, 5)
+    want = held.best(docs, 5)
+    grams = lambda t: {t[k : k + 5] for k in range(len(t) - 4)}
+    assert [round(x, 9) for x in want] == [round(max(len(grams(d) & grams(t)) / len(grams(d) | grams(t)) for t in items), 9) for d in docs]
+    for most in (100, 5000):
+        monkeypatch.setattr(contamination, "STEP_COMMON", most)
+        assert (held.best(docs, 5) == want).all()
