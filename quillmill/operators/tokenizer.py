@@ -125,7 +125,7 @@ def train_bpe(texts: DataFrame, vocab_size: int, special_tokens: Sequence[str] =
     distinct = texts.where("text <> ''").groupBy("text").agg(F.count("*").alias("w"))
     size = distinct.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if size <= MOST_TRAINING_BYTES:
-        return BpeModel.train(((r["text"].encode("utf-8"), r["w"]) for r in distinct.orderBy("text").toLocalIterator()), vocab_size, special_tokens)
+        return BpeModel.train(((r["text"].encode("utf-8"), r["w"]) for r in distinct.toLocalIterator()), vocab_size, special_tokens)
     return train_bpe_distributed(distinct, vocab_size, special_tokens)
 
 

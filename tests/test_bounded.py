@@ -93,3 +93,24 @@ def test_common_grams_are_counted_in_steps(monkeypatch):
     for most in (100, 5000):
         monkeypatch.setattr(contamination, "STEP_COMMON", most)
         assert (held.best(docs, 5) == want).all()
+
+
+def test_training_takes_few_bytes_a_byte(monkeypatch):
+    """Training over a megabyte holds less than 30 bytes for each of its bytes, and steps change no merge."""
+    import tracemalloc
+
+    from quillmill.functions import bpe
+
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefgé ", k=6)) for _ in range(200)]
+    texts = [(" ".join(rng.choices(words, k=80)).encode(), rng.randint(1, 3)) for _ in range(1700)]
+    size = sum(len(t) for t, _ in texts)
+    monkeypatch.setattr(bpe, "STEP_IDS", 100_000)
+    tracemalloc.start()
+    model = BpeModel.train(iter(texts), 300)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size > 900_000 and peak < 30 * size
+    for most in (1000, 3 * size):
+        monkeypatch.setattr(bpe, "STEP_IDS", most)
+        assert BpeModel.train(texts, 300).merges == model.merges
