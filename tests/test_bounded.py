@@ -114,3 +114,15 @@ def test_training_takes_few_bytes_a_byte(monkeypatch):
     for most in (1000, 3 * size):
         monkeypatch.setattr(bpe, "STEP_IDS", most)
         assert BpeModel.train(texts, 300).merges == model.merges
+
+
+def test_candidates_of_large_training(spark):
+    """Candidates from texts with runs of one byte, empty texts and an id of more than two bytes."""
+    texts = [b"aaaaaaa", b"aaa", b"", b"abab", "éé".encode()]
+    small = BpeModel.train([(t, 2) for t in texts], 280)
+    assert BpeModel.train([(t, 2) for t in texts], 70_000).merges[: len(small.merges)] == small.merges
+    assert small.merges[0] == (97, 97) and small.merges[1][0] in (97, 264)
+    found = tokenizer.candidates(small, [264, 265, 280])
+    assert [c["merges"] for c in found] == [0, 1, len(small.merges)]
+    trained = tokenizer.train_bpe(spark.createDataFrame([(t.decode(),) for t in texts * 2], "text string"), 280)
+    assert trained.merges == small.merges
