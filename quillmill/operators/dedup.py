@@ -2,28 +2,29 @@
 
 The near rule is greedy: in order of position, a record is dropped when it is as similar as the threshold to one
 already kept. That is the lexicographically first maximal independent set of the similarity graph, found here in
-rounds of joins on edges only. The similarity join is exact: prefixes of a global rare-first order, extended so that
-similar texts share several n-grams of them; a length filter; and verification on whole n-gram sets."""
+rounds of joins on edges only. The similarity join is exact: texts are written in shards in order of the sizes of their
+n-gram sets, and each task joins a few neighbouring shards with themselves and all larger ones that the threshold allows
+(``llm.prefixes``: prefixes of a global rare-first order, parity, verification on whole sets). N-grams are never rows."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.names import free
-from quillmill.functions.shingles import HASH_MASK, pieces, shared_counts, steps
+from quillmill.functions.shingles import pieces, shared_counts, steps
 from quillmill.functions.text import content_hash
-from quillmill.plans.durable import cut
+from quillmill.llm.prefixes import COUNTER_BITS, SAMPLE, Block, held_of, levels_of
+from quillmill.plans.durable import cut, cut_parts, read_part
 
-#: Counters of the n-gram count sketch that orders n-grams; its size doesn't grow with the data.
-SKETCH_BITS = 21
-_SPREAD = 16
-#: Prefixes are longer by this share of a text's n-grams, and so many n-grams of them must be common.
-MEET = 0.02
+#: Characters of a shard at least and at most, and neighbouring shards that a task joins with others at once.
+LEAST_CHARS, SHARD_CHARS, GROUP = 250_000, 4_000_000, 3
 
 
 def exact_dedup(records: DataFrame) -> DataFrame:
@@ -37,67 +38,76 @@ def exact_dedup(records: DataFrame) -> DataFrame:
     return keyed.join(first, [h, "pos"], "left_semi").drop(h)
 
 
-def _tally(n: int):
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+def _sized(n: int):
+    def sized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = list(b["text"])
-            for lo, hi in steps(texts):
-                keys, _ = pieces(texts[lo:hi], n)
-                total += np.bincount((keys & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS)
-        if total.any():
-            yield pd.DataFrame({"part": np.arange(_SPREAD, dtype=np.int32), "counts": [p.tobytes() for p in total.reshape(_SPREAD, -1)]})
-
-    return tally
-
-
-def _add(group: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(c, np.int64) for c in group["counts"])
-    return pd.DataFrame({"part": group["part"].iloc[:1], "counts": [np.asarray(total).tobytes()]})
-
-
-def ngram_counts_sketch(records: DataFrame, n: int) -> np.ndarray:
-    """How many texts hold an n-gram, by counter; summed in parts on the workers, a fixed 2 MB on the driver."""
-    schema = "part int, counts binary"
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in records.select("text").mapInPandas(_tally(n), schema).groupBy("part").applyInPandas(_add, schema).collect():
-        total.reshape(_SPREAD, -1)[r["part"]] = np.frombuffer(r["counts"], np.int64)
-    return total
-
-
-def _prefixes(handed, threshold: float, n: int):
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = handed.value
-        for b in batches:
-            texts, pos = list(b["text"]), b["pos"].to_numpy()
-            for lo, hi in steps(texts):
-                keys, at = pieces(texts[lo:hi], n)
-                size = np.diff(at)
-                doc = np.repeat(np.arange(hi - lo), size)
-                gram = (keys & HASH_MASK).astype(np.int64)
-                order = np.lexsort((gram, counts[gram & ((1 << SKETCH_BITS) - 1)], doc))
-                rank = np.arange(len(keys)) - at[:-1][doc]
-                need = np.ceil(MEET * size).astype(np.int64)
-                # Slack can only add candidates, so rounding never loses one.
-                keep = rank < (size - np.ceil(threshold * size - 1e-9) + need)[doc]
-                yield pd.DataFrame({"gram": gram[order][keep], "pos": pos[lo:hi][doc[keep]], "size": size[doc[keep]].astype(np.int32), "need": need[doc[keep]].astype(np.int32)})
-
-    return prefixes
-
-
-def _verify(threshold: float, n: int):
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            left, right = list(b["left"]), list(b["right"])
-            for lo, hi in steps([x + y for x, y in zip(left, right)]):
-                a, c, both = shared_counts(left[lo:hi], right[lo:hi], n)
-                part = b.iloc[lo:hi]
-                union = a + c - both
-                share = np.where(union == 0, 1.0, both / np.maximum(union, 1))
-                ok = share >= threshold
-                yield pd.DataFrame({"a": part["a"].to_numpy()[ok], "b": part["b"].to_numpy()[ok], "common": both[ok].astype(np.int64), "total": union[ok].astype(np.int64)})
-
-    return verify
+            sizes = [np.diff(pieces(texts[lo:hi], n)[1]) for lo, hi in steps(texts)]
+            yield b.assign(pieces=np.concatenate([np.zeros(0, np.int64), *sizes]))
+
+    return sized
+
+
+class _Shard(NamedTuple):
+    """Characters of a shard, and the smallest and largest n-gram set."""
+
+    chars: int
+    low: int
+    high: int
+
+
+def _shards(sizes: list[tuple[int, int, int, int]], most: int) -> tuple[list[_Shard], dict[int, tuple[int, int]]]:
+    """Shards of ``most`` characters in order, and by step of size the first shard and the number of shards of its texts.
+
+    ``sizes``: (step, characters, smallest, largest size) in order. A step that doesn't fit is spread over several."""
+    shards: list[_Shard] = []
+    place: dict[int, tuple[int, int]] = {}
+    for step, chars, low, high in sizes:
+        parts = -(-chars // most)
+        if parts == 1 and shards and shards[-1].chars + chars <= most:
+            shards[-1] = _Shard(shards[-1].chars + chars, shards[-1].low, high)
+            place[step] = len(shards) - 1, 1
+        else:
+            place[step] = len(shards), parts
+            shards += [_Shard(-(-chars // parts), low, high)] * parts
+    return shards, place
+
+
+def _joined(path: str, shards: list[_Shard], group: int, levels: Broadcast, threshold: float, n: int):
+    def texts_of(number: int) -> tuple[np.ndarray, list[str]]:
+        rows = read_part(path, "shard", number, ["pos", "text"]).sort_values("pos")
+        return rows["pos"].to_numpy(np.int64), list(rows["text"])
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for first in (int(k) for b in batches for k in b["first"]):
+            own = range(first, min(first + group, len(shards)))
+            parts = [texts_of(k) for k in own]
+            begin = np.cumsum([0, *(len(t) for _, t in parts)])
+            pos = np.concatenate([p for p, _ in parts])
+            block = Block([t for _, texts in parts for t in texts], levels.value, threshold, n)
+            low, high = min(shards[k].low for k in own), max(shards[k].high for k in own)
+            del parts
+            for number in range(first, len(shards)):
+                if shards[number].low * threshold > high + 1e-6 or low * threshold > shards[number].high + 1e-6:
+                    continue
+                held_pos, texts = texts_of(number)
+                for held in held_of(texts, levels.value, threshold, n):
+                    for i, j, _ in held.pairs(block):
+                        if number in own:
+                            later = begin[number - first] + j > i
+                            i, j = i[later], j[later]
+                        yield _counted(pos[i], held_pos[j], [block.forms[k] for k in i], [texts[k] for k in j], n)
+                del held_pos, texts
+
+    return joined
+
+
+def _counted(x: np.ndarray, y: np.ndarray, left: list[str], right: list[str], n: int) -> pd.DataFrame:
+    common, total = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+    for lo, hi in steps([a + b for a, b in zip(left, right)]):
+        a, b, common[lo:hi] = shared_counts(left[lo:hi], right[lo:hi], n)
+        total[lo:hi] = a + b - common[lo:hi]
+    return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "common": common, "total": total})
 
 
 def similar_pairs(records: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
@@ -105,18 +115,29 @@ def similar_pairs(records: DataFrame, threshold: float = 0.8, n: int = 5) -> Dat
     least ``threshold``; for texts that are exactly deduplicated and not null. ``threshold`` in (0, 1]."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    texts = records.select("pos", "text").where("text <> ''")
-    handed = records.sparkSession.sparkContext.broadcast(ngram_counts_sketch(texts, n))
-    index = texts.mapInPandas(_prefixes(handed, threshold, n), "gram long, pos long, size int, need int")
-    x, y = index.alias("x"), index.alias("y")
-    t = F.lit(threshold - 1e-9)
-    small, large = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
-    on = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.pos") < F.col("y.pos")) & (small >= large * t)
-    common = x.join(y, on).groupBy(F.col("x.pos").alias("a"), F.col("y.pos").alias("b")).agg(F.count("*").alias("n"), F.min(F.least("x.need", "y.need")).alias("need"))
-    met = common.where("n >= need").select("a", "b")
-    left = met.join(texts.select(F.col("pos").alias("a"), F.col("text").alias("left")), "a")
-    both = left.join(texts.select(F.col("pos").alias("b"), F.col("text").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInPandas(_verify(threshold, n), "a long, b long, common long, total long")
+    spark = records.sparkSession
+    texts = records.select(F.col("pos").cast("long").alias("pos"), "text").where("text <> ''")
+    sized = texts.mapInPandas(_sized(n), "pos long, text string, pieces long")
+    step = F.floor(16 * F.log2("pieces")).cast("int")
+    sizes = sized.groupBy(step.alias("step")).agg(F.sum(F.length("text")).alias("chars"), F.min("pieces").alias("low"), F.max("pieces").alias("high"), F.count("*").alias("n")).orderBy("step").collect()
+    # More shards than cores, so that small tables are joined by all of them.
+    total, cores = sum(r["chars"] for r in sizes), spark.sparkContext.defaultParallelism
+    most = min(SHARD_CHARS, max(LEAST_CHARS, total // (4 * GROUP * cores)))
+    shards, place = _shards([(r["step"], r["chars"], r["low"], r["high"]) for r in sizes], most)
+    if not shards:
+        return spark.createDataFrame([], "a long, b long, common long, total long")
+    of = F.create_map(*[F.lit(x) for k, (first, parts) in place.items() for x in (k, F.struct(F.lit(first).alias("first"), F.lit(parts).alias("n")))])[step]
+    numbered = sized.select("pos", "text", of.alias("of")).select("pos", "text", (F.col("of.first") + F.pmod(F.xxhash64("pos"), F.col("of.n"))).cast("int").alias("shard"))
+    path = cut_parts(numbered.repartition(min(len(shards), 4 * cores), "shard"), "shard", "shards")
+    # The order of the n-grams decides the speed only; it comes from the counts of a sample.
+    share = -(-sum(r["n"] for r in sizes) // SAMPLE)
+    sample = texts.where(F.pmod(F.xxhash64("pos"), F.lit(share)) == 0).select(F.col("text").alias("form")).repartition(1)
+    counted = sample.mapInPandas(lambda batches: levels_of(batches, n), "levels binary").first()
+    levels = spark.sparkContext.broadcast(np.frombuffer(counted["levels"], np.uint8) if counted else np.zeros(1 << COUNTER_BITS, np.uint8))
+    group = GROUP if threshold >= 0.5 else 1
+    tasks = -(-len(shards) // group)
+    firsts = spark.range(0, tasks, 1, tasks).select((F.col("id") * group).cast("int").alias("first"))
+    return firsts.mapInPandas(_joined(path, shards, group, levels, threshold, n), "a long, b long, common long, total long")
 
 
 def dropped_positions(edges: DataFrame) -> DataFrame:

@@ -6,10 +6,11 @@ import random
 from collections import Counter
 
 import pandas as pd
+import pytest
 
 from quillmill.functions import shingles
 from quillmill.functions.bpe import BpeModel
-from quillmill.operators import contamination, tokenizer
+from quillmill.operators import contamination, dedup, tokenizer
 
 
 def brute_pairs(texts):
@@ -126,3 +127,26 @@ def test_candidates_of_large_training(spark):
     assert [c["merges"] for c in found] == [0, 1, len(small.merges)]
     trained = tokenizer.train_bpe(spark.createDataFrame([(t.decode(),) for t in texts * 2], "text string"), 280)
     assert trained.merges == small.merges
+
+
+@pytest.mark.parametrize("threshold,n", [(0.3, 2), (0.6, 5), (0.8, 5), (1.0, 1)])
+def test_similar_pairs_of_shards(spark, monkeypatch, threshold, n):
+    """All pairs with their counts, over many small shards, some of them of one size; no n-gram is a row of a join."""
+    rng = random.Random(8)
+    base = ["".join(rng.choices("abcdefg ", k=k)) for k in (1, 3, 5, 9, 20, 40, 60, 60, 150, 400)]
+    texts = set()
+    for b in base:
+        for _ in range(12):
+            t = list(b)
+            for _ in range(rng.choice([1, 1, 2, 5])):
+                t[rng.randrange(len(t))] = rng.choice("abcdefgxyz")
+            texts.add("".join(t[: rng.randint(max(1, len(t) * 3 // 4), len(t))]))
+    texts = sorted(texts)
+    rng.shuffle(texts)
+    grams = [{t[k : k + n] for k in range(max(1, len(t) - n + 1))} for t in texts]
+    want = {(a, b, len(x & y), len(x | y)) for b, y in enumerate(grams) for a, x in enumerate(grams[:b]) if len(x & y) / len(x | y) >= threshold}
+    monkeypatch.setattr(dedup, "LEAST_CHARS", 400)
+    found = dedup.similar_pairs(spark.createDataFrame(list(enumerate([*texts, ""])), "pos long, text string"), threshold, n)
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 5
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
