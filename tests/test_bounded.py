@@ -150,3 +150,8 @@ def test_similar_pairs_of_shards(spark, monkeypatch, threshold, n):
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 5
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_texts_give_no_pairs(spark):
+    for rows in ([], [(0, "")]):
+        assert dedup.near_dedup(spark.createDataFrame(rows, "pos long, text string")).count() == len(rows)
