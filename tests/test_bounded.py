@@ -10,6 +10,7 @@ import pytest
 
 from quillmill.functions import shingles
 from quillmill.functions.bpe import BpeModel
+from quillmill.llm import overlap
 from quillmill.operators import contamination, dedup, tokenizer
 
 
@@ -155,3 +156,17 @@ def test_similar_pairs_of_shards(spark, monkeypatch, threshold, n):
 def test_no_texts_give_no_pairs(spark):
     for rows in ([], [(0, "")]):
         assert dedup.near_dedup(spark.createDataFrame(rows, "pos long, text string")).count() == len(rows)
+
+
+def test_every_coverage_counts(spark):
+    """Half of a test record in a long training text, a short training text inside one, and the record's own id in both splits."""
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n)).strip().replace("  ", " x")
+    half, inside, own = text(1400), text(1400), text(1400)
+    rows = [("a", half, "half", "test"), ("b", text(5000) + half[:700] + text(5000), "s", "train"), ("c", inside, "inside", "test"), ("d", inside[200:480], "s", "train")]
+    rows += [("e", own, "own", "test"), ("e", own, "own", "train"), ("f", own[:700] + text(900), "s", "train"), ("g", text(900), "none", "validation")]
+    table = spark.createDataFrame(rows, "id string, text string, source string, split_name string")
+    got = {r["source"]: r for r in overlap.overlap_report(table).collect()}
+    assert {k: (r["contained"], r["pairs"]) for k, r in got.items()} == {k: (0, 0) for k in ("half", "inside", "own", "none")}
+    assert 0.42 < got["half"]["mean_coverage"] < 0.58 and 0.12 < got["inside"]["mean_coverage"] < 0.28
+    assert 0.42 < got["own"]["mean_coverage"] < 0.58 and got["none"]["mean_coverage"] == 0
