@@ -170,3 +170,13 @@ def test_every_coverage_counts(spark):
     assert {k: (r["contained"], r["pairs"]) for k, r in got.items()} == {k: (0, 0) for k in ("half", "inside", "own", "none")}
     assert 0.42 < got["half"]["mean_coverage"] < 0.58 and 0.12 < got["inside"]["mean_coverage"] < 0.28
     assert 0.42 < got["own"]["mean_coverage"] < 0.58 and got["none"]["mean_coverage"] == 0
+
+
+def test_first_of_similar_texts_is_kept_over_shards(spark, monkeypatch):
+    """A short text that comes later than a longer one in another shard is dropped, whatever their shards; the sizes are joined once."""
+    rng = random.Random(10)
+    base = "".join(rng.choices("abcdefghij", k=300))
+    texts = [base[:250], *["".join(rng.choices("klmnopq", k=k)) for k in range(200, 320, 4)], base[:290], base[:240], base]
+    monkeypatch.setattr(dedup, "LEAST_CHARS", 300)
+    kept = [r["pos"] for r in dedup.near_dedup(spark.createDataFrame(list(enumerate(texts)), "pos long, text string")).orderBy("pos").collect()]
+    assert kept == list(range(31))
